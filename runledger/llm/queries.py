@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_table
+from . import language_id, sentencepiece_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_language_id": language_id.query,
         "op10_sentencepiece": lambda spark, sf_dir: sentencepiece_table.query(spark, sf_dir, MODEL),
     }
 
