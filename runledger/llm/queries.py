@@ -7,17 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, sentencepiece_table
+from . import exact_dedup, language_id, mixing, sentencepiece_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": mixing.query,
         "op8_language_id": language_id.query,
+        "op9_exact_dedup": exact_dedup.query,
         "op10_sentencepiece": lambda spark, sf_dir: sentencepiece_table.query(spark, sf_dir, MODEL),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+    }
