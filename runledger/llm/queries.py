@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, sentencepiece_table
+from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": near_dedup.query,
         "op3_mixing": mixing.query,
         "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
