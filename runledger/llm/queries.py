@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_table
+from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_table, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": near_dedup.query,
         "op3_mixing": mixing.query,
+        "op5_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_sentencepiece": lambda spark, sf_dir: sentencepiece_table.query(spark, sf_dir, MODEL),
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.SQL,
+        "op5_url_filter": url_filter.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
     }
