@@ -74,9 +74,11 @@ def build_index(docs: DataFrame, work: shared.Workspace, capacity: int = BUCKET_
         own = candidates.select("doc_id", "key", "plain").join(chained, "key", "left_semi")
         order = F.rank().over(shared_window("key", "plain"))
         links = own.select("key", "plain").distinct().withColumn("link", order)
-        of_doc = own.join(links, ["key", "plain"]).select("doc_id", "key", "link", F.sha2("plain", 256).alias("text_sha256")).distinct()
+        of_doc = own.join(links, ["key", "plain"]).select(F.col("doc_id").alias("of"), "key", "link", F.sha2("plain", 256).alias("text_sha256")).distinct()
         # a doc_id may repeat with several texts under one key: its digest tells which
-        linked = postings.join(of_doc, ["doc_id", "key", "text_sha256"], "left").withColumn("link", F.coalesce("link", F.lit(0)))
+        p, o = postings.alias("p"), of_doc.alias("o")
+        same = (F.col("p.key") == F.col("o.key")) & (F.col("p.text_sha256") == F.col("o.text_sha256")) & F.col("p.doc_id").eqNullSafe(F.col("o.of"))
+        linked = p.join(o, same, "left").select("p.*", F.coalesce("o.link", F.lit(0)).alias("link"))
         linked = work.save(linked, "linked")
 
     best = F.max_by(F.col("doc_id"), F.struct(F.col("code_points"), F.col("doc_id").isNotNull(), -F.col("doc_id")))

@@ -265,4 +265,4 @@ def keep_identified(docs: DataFrame, models: Models | None = None) -> DataFrame:
     models = models or fit(docs)
     if models is None:
         return docs.limit(0)
-    return docs.withColumn("_runledger_language", predict(docs["text"], models)).where("not _runledger_language.rejected").drop("_runledger_language")
+    return docs.select(F.struct("*").alias("d"), predict(docs["text"], models).alias("p")).where("not p.rejected").select("d.*")

@@ -116,10 +116,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     work = shared.Workspace(docs.sparkSession, "mix")
     entered = plan(docs).where("taken > 0").groupBy("doc_id").agg(F.min("position").alias("_position"), F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_passes"))
     entered = work.save(entered, "entered").withColumnRenamed("doc_id", "_doc_id")
-    rows = docs.join(entered, docs["doc_id"].eqNullSafe(entered["_doc_id"])).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
+    rows = docs.select(F.struct("*").alias("d")).join(entered, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")))
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["_pass", "_position", "doc_id"]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select([docs[c] for c in docs.columns])
+    order = ["_pass", "_position", "_doc_id"]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("d.*")
 
 
 SQL = r"""
