@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import shared
 
@@ -217,7 +216,7 @@ def predict(text: Column, models: Models | None) -> Column:
     if models is None:
         return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(0).cast("long").alias("n_chars"), F.lit(True).alias("rejected"))
 
-    @F.pandas_udf(T._parse_datatype_string(_RESULT))
+    @F.pandas_udf(_RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(models)
         for texts in batches:

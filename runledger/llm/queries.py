@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, sentencepiece_table, url_filter
+from . import exact_dedup, language_id, media, mixing, near_dedup, sentencepiece_table, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -15,6 +15,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": near_dedup.query,
+        "op2_media": media.query,
         "op3_mixing": mixing.query,
         "op5_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
