@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, media, mixing, near_dedup, sentencepiece_table, url_filter
+from . import chat_format, exact_dedup, language_id, media, mixing, near_dedup, sentencepiece_table, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": near_dedup.query,
         "op2_media": media.query,
         "op3_mixing": mixing.query,
+        "op4_chat_format": chat_format.query,
         "op5_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.SQL,
+        "op4_chat_format": chat_format.SQL,
         "op5_url_filter": url_filter.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
     }
