@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, language_id, media, mixing, near_dedup, sentencepiece_table, toxicity, url_filter
+from . import chat_format, exact_dedup, language_id, media, mixing, near_dedup, pii, sentencepiece_table, toxicity, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.query,
         "op4_chat_format": chat_format.query,
         "op5_url_filter": url_filter.query,
+        "op6_pii": pii.query,
         "op7_toxicity": toxicity.query,
         "op8_language_id": language_id.query,
         "op9_exact_dedup": exact_dedup.query,
