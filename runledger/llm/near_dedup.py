@@ -5,12 +5,16 @@ percent of the union; components of links are groups of near-duplicates.
 
 1. Each document gets its set's digest, BANDS band keys of ROWS MinHash values each, and a further signature
    for verification. Documents with equal sets form one class, represented by its least id.
-2. Classes that share a band key are candidates. First each is compared with the least id under its key,
-   which joins large groups of near copies without listing their pairs; linked classes are united. Classes
-   of one key that are still apart are then compared with each other, so no candidate is lost.
-3. Candidates are compared by batches of their signatures. After each batch, those whose posterior
+2. Classes that share a band key are candidates. First each is compared with the least id under its key, the
+   leader, which joins large groups of near copies without listing their pairs; linked classes are united.
+3. Classes that share a leader but are still apart are narrowed without listing their pairs and without
+   losing a link. Of their shingles outside the leader's set, those that at most RARE of them hold list the
+   few pairs that share one. Any other pair shares only shingles of the leader or frequent ones, so the lesser
+   count of these bounds its intersection; pairs within that bound are listed too. Before, each class is
+   compared with the one that has most of these shingles, as a second leader.
+4. Candidates are compared by batches of their signatures. After each batch, those whose posterior
    probability of reaching the threshold (uniform prior) is below MISS are pruned.
-4. Survivors are verified on their full sets.
+5. Survivors are verified on their full sets.
 
 A pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6, less above it.
 
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -40,6 +44,8 @@ CHECKED, BATCH, MISS = 64, 16, 1e-9
 THRESHOLD = 80
 #: Ids that are broadcast to pick the texts to verify (16 bytes each), up to this count.
 BROADCAST_IDS = 1_000_000
+#: A shingle outside the leader's set that at most this many classes of a leader hold lists their pairs.
+RARE = 8
 #: Distinct words whose hashes a task keeps.
 WORD_LIMIT = 400_000
 
@@ -107,21 +113,21 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys, verification signature; the last three null for empty sets."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, digest binary, bands array<long>, signature binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for rows in batches:
+        for texts in batches:
             out = []
-            for text in rows.text:
+            for text in texts:
                 s = shingler.set_of(text)
                 if not len(s):
                     out.append((0, None, None, None))
                     continue
                 sig = minhash(s)
                 out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig), sig[BANDS * ROWS :].astype(np.uint16).tobytes()))
-            made = pd.DataFrame(out, columns=["n_shingles", "digest", "bands", "signature"])
-            yield pd.concat([rows[["doc_id"]].astype("Int64").reset_index(drop=True), made], axis=1)
+            yield pd.DataFrame(out, columns=["n_shingles", "digest", "bands", "signature"])
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
+    return docs.select("doc_id", sketch(docs["text"]).alias("s")).select("doc_id", "s.*")
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -160,28 +166,88 @@ def survivors(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFr
     return pairs.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInPandas(prune, "a long, b long")
 
 
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b); pairs of one a follow each other within a task."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+
+
+def _sets(rows: pd.DataFrame, shingler: Shingler, last: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for text_a, text_b in zip(rows.text_a, rows.text_b, strict=True):
+        if last[0] != text_a:
+            last[:] = text_a, shingler.set_of(text_a)
+        yield last[1], shingler.set_of(text_b)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, last = Shingler(words), (None, None)
+        shingler, last = Shingler(words), [None, None]
         for rows in batches:
             keep = []
-            for text_a, text_b in zip(rows.text_a, rows.text_b, strict=True):
-                if last[0] != text_a:  # pairs of one a follow each other
-                    last = text_a, shingler.set_of(text_a)
-                x, y = last[1], shingler.set_of(text_b)
+            for x, y in _sets(rows, shingler, last):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
             yield rows.loc[np.array(keep, bool), ["a", "b"]]
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInPandas(verify, "a long, b long")
+    return with_texts(pairs, docs).mapInPandas(verify, "a long, b long")
+
+
+def outside_leader(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(lo, id) -> lo, id, common (shingles that id shares with lo), others (those it has besides)."""
+
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, last = Shingler(words), [None, None]
+        for rows in batches:
+            others = [np.setdiff1d(y, x, assume_unique=True) for x, y in _sets(rows, shingler, last)]
+            sizes = [len(shingler.set_of(t)) for t in rows.text_b]
+            yield pd.DataFrame({"lo": rows.a, "id": rows.b, "common": [n - len(o) for n, o in zip(sizes, others, strict=True)], "others": [o.view(np.int64) for o in others]})
+
+    pairs = members.select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    return with_texts(pairs, docs).mapInPandas(differ, "lo long, id long, common long, others array<long>")
+
+
+def similar_sizes(x: str, y: str, threshold: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * threshold
+
+
+def second_leaders(profile: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b): for each leader the class with the largest share of known shingles, and those apart from it."""
+    best = F.max_by(F.struct("id", "n", "component"), F.struct(F.col("inside") / F.col("n"), -F.col("id")))
+    leaders = profile.groupBy("lo").agg(best.alias("best")).select("lo", F.col("best.id").alias("a"), F.col("best.n").alias("n_a"), F.col("best.component").alias("c_a"))
+    both = profile.join(leaders, "lo").where((F.col("component") != F.col("c_a")) & similar_sizes("n", "n_a", threshold))
+    return both.select("a", F.col("id").alias("b"))
+
+
+def narrowed(profile: DataFrame, rare: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) that share a leader, lie in different components and may be linked.
+
+    profile: lo, id, n, inside (shingles of the leader or frequent), n_rare, component. rare: lo, shingle, id.
+    """
+    need = F.lit(threshold) * (F.col("n_a") + F.col("n_b"))  # (100 + threshold) * intersection reaches it in linked pairs
+
+    def sides(df: DataFrame) -> list[DataFrame]:
+        common = [c for c in df.columns if c in ("lo", "shingle")]
+        return [df.select(*common, F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("inside").alias(f"in_{x}"), F.col("n_rare").alias(f"rare_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab"]
+
+    apart = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_sizes("n_a", "n_b", threshold)
+    most = F.least("in_a", "in_b") + F.least("rare_a", "rare_b")
+    a, b = sides(rare.join(profile, ["lo", "id"]))
+    by_rare = a.join(b, ["lo", "shingle"]).where(apart & (most * (100 + threshold) >= need)).select("a", "b")
+
+    # what holds for both sides of such a pair: enough shingles inside, also for the smallest partner there is
+    able = profile.where(F.col("inside") * 100 >= F.col("n") * threshold)
+    smallest = able.groupBy("lo").agg(F.min("n").alias("least_n"))
+    able = able.join(smallest, "lo").where(F.col("inside") * (100 + threshold) >= (F.col("n") + F.col("least_n")) * threshold)
+    several = able.groupBy("lo").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("lo")
+    a, b = sides(able.join(several, "lo", "left_semi"))
+    by_bound = a.join(b, "lo").where(apart & (F.least("in_a", "in_b") * (100 + threshold) >= need)).select("a", "b")
+    return by_rare.union(by_bound).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -200,26 +266,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("n_shingles", "id").alias("n_lo"), F.min("id").alias("lo")).where("n > 1").drop("n")
     members = work.save(rows.join(crowded, "key"), "members")
 
-    def similar_sizes(x: str, y: str) -> F.Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * threshold
-
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         left = work.save(survivors(pairs.distinct(), signatures, threshold), f"{name}-survivors")
         return work.save(verified(left, docs, words, threshold), f"{name}-links")
 
-    star = members.where((F.col("id") != F.col("lo")) & similar_sizes("n_shingles", "n_lo")).select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    def labelled(df: DataFrame, groups: DataFrame) -> DataFrame:
+        return df.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    star = members.where((F.col("id") != F.col("lo")) & similar_sizes("n_shingles", "n_lo", threshold)).select(F.col("lo").alias("a"), F.col("id").alias("b"))
     links = links_of(star, "star")
-    first = components(links, work, "star-components")
-    # under each key, classes that are still apart; those under a key of one component need no more
-    labelled = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = work.save(labelled.select("key", "id", "n_shingles", "lo", "component"), "labelled")
-    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("key")
-    apart = labelled.where("id != lo").join(mixed, "key", "left_semi")
-    x, y = (apart.select("key", F.col("id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("component").alias(f"c_{n}")) for n in "ab")
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_sizes("n_a", "n_b")).select("a", "b")
+    groups = components(links, work, "star-components")
+
+    # leaders with classes under one key that are still apart
+    of_key = work.save(labelled(members.where("id != lo").select("key", "lo", "id", F.col("n_shingles").alias("n")), groups), "labelled")
+    mixed = of_key.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    apart = work.save(of_key.join(mixed, "key", "left_semi").select("lo", "id", "n").distinct(), "apart")
+    outside = work.save(outside_leader(apart, docs, words), "outside")
+    each = outside.select("lo", "id", F.explode("others").alias("shingle"))
+    held = each.groupBy("lo", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = work.save(each.join(held, ["lo", "shingle"]), "held")
+    known = held.groupBy("lo", "id").agg(F.count_if(F.col("holders") > RARE).alias("frequent"), F.count_if(F.col("holders") <= RARE).alias("n_rare"))
+    profile = apart.join(outside.drop("others"), ["lo", "id"]).join(known, ["lo", "id"], "left").fillna(0, ["frequent", "n_rare"])
+    profile = work.save(profile.withColumn("inside", F.col("common") + F.col("frequent")).drop("common", "frequent"), "profile")
+
+    links = links.union(links_of(second_leaders(labelled(profile, groups), threshold), "second"))
+    groups = components(links, work, "second-components")
+    rest = narrowed(labelled(profile, groups), held.where(F.col("holders") <= RARE).drop("holders"), threshold)
     links = links.union(links_of(rest, "rest"))
     groups = work.save(components(links, work, "components"), "groups")
-    work.drop("members", "labelled", "class-sketches", "star-survivors", "rest-survivors")
+    work.drop("members", "labelled", "apart", "outside", "held", "profile", "class-sketches", "star-survivors", "second-survivors", "rest-survivors")
 
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(groups, "id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id", "doc_id"))

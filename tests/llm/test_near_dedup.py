@@ -67,6 +67,25 @@ def test_chains_groups_and_edges(spark):
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_many_copies_around_the_threshold(spark):
+    """Edits of one base, some linked, many apart, with families that share a passage; the leader is an edit itself."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    passage = [f"p{i}" for i in range(20)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        for _ in range(rng.choice([2, 4, 6, 8, 10])):
+            t[rng.randrange(150)] = f"e{rng.randrange(10**6) if rng.random() < 0.7 else rng.randrange(30)}"
+        if i % 3 == 0:
+            at = rng.randrange(130)
+            t[at : at + rng.choice([5, 20])] = passage
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in nd.near_duplicates(docs, 4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_repeats_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u"), (2, "x")], "doc_id long, text string")
     got = sorted((tuple(r) for r in nd.near_duplicates(docs, 4).collect()), key=str)
