@@ -1,0 +1,28 @@
+"""Runs a query and its SQL over one folder, and compares the rows."""
+
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duck(folder):
+    con = duckdb.connect()
+    con.sql("set timezone='UTC'")
+    for t in TABLES:
+        if os.path.exists(p := f"{folder}/{t}.parquet"):
+            con.sql(f"create view {t} as select * from '{p}'")
+    return con
+
+
+def same(spark, name, run, sql, folder, con=None):
+    df = run(spark, folder)
+    cols = sorted(df.columns)
+    ours = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+    rel = (con or duck(folder)).sql(sql)
+    assert sorted(rel.columns) == cols, (name, rel.columns, cols)
+    theirs = sorted((tuple(dict(zip(rel.columns, r, strict=True))[c] for c in cols) for r in rel.fetchall()), key=str)
+    assert len(ours) == len(theirs), (name, len(ours), len(theirs))
+    assert ours == theirs, (name, next((a, b) for a, b in zip(ours, theirs, strict=True) if a != b))
+    return len(ours)
