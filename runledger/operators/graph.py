@@ -42,6 +42,11 @@ def predecessors(edges: DataFrame, node: int) -> DataFrame:
     return edges.where(F.col("dst") == node).select(F.col("src").alias("node"))
 
 
+def contained(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of asked (node) that are nodes."""
+    return asked.join(nodes.select("node"), "node", "left_semi")
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -74,6 +74,19 @@ def step_actions(events: DataFrame, source: str, redo: list[str]) -> DataFrame:
     return steps.select("step_id", F.when(~F.col("step_id").isin(*redo) & F.col("has"), "skip").otherwise("run").alias("action"))
 
 
+def policy_plan(events: DataFrame, edges: DataFrame, source: str, redo: list[str]) -> DataFrame:
+    """step_id, action, result for every step of the shape: run what the source never finished, what is asked for,
+    and all that depends on either; skip the rest with the source's results."""
+    own = events.where(F.col("run_id") == source)
+    planned = reseed_plan(own, edges).select("step_id")
+    asked = graph.nodes_of(edges).where(F.col("node").isin(*redo))
+    again = planned.union(graph.reachable(edges, asked).select(F.col("node").alias("step_id"))).distinct().withColumn("again", F.lit(True))
+    steps = graph.nodes_of(edges).select(F.col("node").alias("step_id"))
+    both = steps.join(again, "step_id", "left").join(fold.load_results(own).select("step_id", "result"), "step_id", "left")
+    skip = F.col("again").isNull() & F.col("result").isNotNull()
+    return both.select("step_id", F.when(skip, "skip").otherwise("run").alias("action"), F.when(skip, F.col("result")).alias("result"))
+
+
 def goal_boundaries(events: DataFrame, goals: list[str]) -> DataFrame:
     """run_id, done_index, park_index: the event that completes the last goal, and the first start after it (null if none).
 

@@ -130,6 +130,20 @@ def signal_verdicts(events: DataFrame, signals: DataFrame) -> DataFrame:
     return both.select("run_id", "name", "step_id", F.when(F.col("step_id").isNull(), "lost").otherwise("resolved").alias("verdict"))
 
 
+def step_signal_verdicts(events: DataFrame, signals: DataFrame) -> DataFrame:
+    """run_id, step_id, name, verdict of signals (run_id, step_id): resolved under the name that the step awaited last."""
+    awaits = events.where("event_type = 'SIGNAL_AWAITED'").groupBy("run_id", "step_id").agg(F.max_by("name", "event_index").alias("name"))
+    both = signals.join(awaits, ["run_id", "step_id"], "left")
+    return both.select("run_id", "step_id", "name", F.when(F.col("name").isNull(), "lost").otherwise("resolved").alias("verdict"))
+
+
+def approval_verdicts(events: DataFrame, approvals: DataFrame) -> DataFrame:
+    """run_id, name, verdict of approvals (run_id, name): lost where none was requested."""
+    asked = events.where("event_type = 'APPROVAL_REQUESTED'").select("run_id", "name", F.lit(True).alias("asked")).distinct()
+    both = approvals.join(asked, ["run_id", "name"], "left")
+    return both.select("run_id", "name", F.when(F.col("asked"), "resolved").otherwise("lost").alias("verdict"))
+
+
 def upsert_schedules(schedules: DataFrame, new: DataFrame) -> DataFrame:
     return schedules.join(new.select("schedule_id"), "schedule_id", "left_anti").unionByName(new.select(schedules.columns))
 

@@ -113,6 +113,8 @@ add("P05_waits_for_approval", "select run_id, coalesce(wait_name = 'sig-2', fals
 add("P06_checked_status", "select status, count(*) as n from wf_runs group by 1", (RU,))(lambda r: r.groupBy(projections.checked_status(F.col("status")).alias("status")).agg(F.count("*").alias("n")))
 add("P08_executions", f"select run_id, status, case when wait_name = '{TIMER}' then updated_at end as wake_at from wf_runs", (RU,))(lambda r: projections.executions(r.withColumn("deadline", F.col("updated_at"))))
 VERSIONS = [("wf-0", "v1", True), ("wf-0", "v2", False), ("wf-1", "v2", True), ("wf-2", "v9", True), ("wf-3", "v1", False), ("wf-3", "v2", True)]
+add("P07_widened_status", "select run_id, status from wf_runs", (RU,))(lambda r: r.select("run_id", projections.checked_status(F.col("status")).alias("status")))
+add("P09_typed_body", "select run_id, event_index, cast(json_extract_string(body, '$.k') as bigint) as k from wf_events where body is not null", (EV,))(lambda e: e.where("body is not null").select("run_id", "event_index", jsonfn.typed(F.col("body"), "k bigint")["k"].alias("k")))
 add("P10_select_version", "with v(workflow_id, version, is_current) as (values " + ", ".join(f"('{w}', '{v}', {str(c).lower()})" for w, v, c in VERSIONS) + """),
 r as (select run_id, case when r.workflow_version is null then c.version else x.version end as routed_version from wf_runs r
   left join v c on c.workflow_id = r.workflow_id and c.is_current left join v x on x.workflow_id = r.workflow_id and x.version = r.workflow_version)
@@ -196,6 +198,10 @@ _SUB = f"{_REACH.format(seeds='5', to='dst', by='src')}, {_REACH.format(seeds='1
 add("G15_sub_dag_nodes", f"with {_SUB} select node from k", (ED,))(lambda e: graph.sub_dag_nodes(e, _nodes(e, 5), _nodes(e, 180)))
 add("G16_sub_dag_edges", f"with {_SUB} select src, dst, a.id as new_src, b.id as new_dst from wf_edges join k a on a.node = src join k b on b.node = dst", (ED,))(lambda e: graph.sub_dag_edges(e, graph.sub_dag_nodes(e, _nodes(e, 5), _nodes(e, 180))))
 
+add("G07_reverse_adjacency", """with n as (select src as node from wf_edges union select dst from wf_edges), d as (select node, count(dst) as degree from n left join wf_edges on dst = node group by 1)
+select node, coalesce(sum(degree) over (order by node rows between unbounded preceding and 1 preceding), 0)::bigint as first, degree from d""", (ED,))(lambda e: graph.adjacency(graph.reversed_edges(e)))
+add("G08_contains_node", "select node from (values (5::bigint), (100), (99999999)) x(node) where node in (select src from wf_edges union select dst from wf_edges)", (ED,))(lambda e: graph.contained(graph.nodes_of(e), _nodes(e, 5, 100, 99999999)))
+
 # --- redo --------------------------------------------------------------------------------------------------------
 
 CHAIN = [(f"step-{i}", f"step-{i + 1}") for i in range(7)]
@@ -215,6 +221,10 @@ where run_id = 'u1' and event_type = 'STEP_FINISHED' and step_id <> 'step-3'""",
 add("D06_reseed_verdicts", "select * from (values ('o1', 'o1', 'validation_error'), ('o1', 'gone', 'run_lost'), ('o1', 'o7', 'ok')) x(run_id, source, verdict)", (RU,))(lambda r: redo.reseed_verdicts(r.sparkSession.createDataFrame([("o1", "o1"), ("o1", "gone"), ("o1", "o7")], "run_id string, source string"), r))
 add("D07_step_actions", """with h as (select distinct step_id from wf_events where run_id = 'u1' and event_type = 'STEP_FINISHED' and body is not null)
 select distinct step_id, case when step_id not in ('step-3', 'step-4') and step_id in (from h) then 'skip' else 'run' end as action from wf_events where run_id = 'u1'""", (EV,))(lambda e: redo.step_actions(e, "u1", ["step-3", "step-4"]))
+add("D02_contains_step", "select 'step-3' as node")(lambda s: graph.contained(graph.nodes_of(s.createDataFrame(CHAIN, "src string, dst string")), s.createDataFrame([("step-3",), ("step-9",)], "node string")))
+add("D08_policy_plan", """with s as (select 'step-' || i as step_id, i from range(8) x(i)), h as (select step_id, arg_max(body, event_index) as result from wf_events where run_id = 'u1' and event_type = 'STEP_FINISHED' and body is not null group by 1),
+f as (select least(4, coalesce(min(i), 8)) as first from s where step_id not in (select step_id from wf_events where run_id = 'u1' and event_type = 'STEP_FINISHED'))
+select s.step_id, case when i < first and result is not null then 'skip' else 'run' end as action, case when i < first then result end as result from s cross join f left join h using (step_id)""", (EV,))(lambda e: redo.policy_plan(e, _chain(e), "u1", ["step-4"]))
 add("D09_goal_boundary", """with f as (select run_id, step_id, min(event_index) as i from wf_events where event_type = 'STEP_FINISHED' and step_id in ('step-1', 'step-2') group by 1, 2),
 d as (select run_id, max(i) as done_index from f group by 1 having count(*) = 2)
 select run_id, done_index, (select min(event_index) from wf_events e where e.run_id = d.run_id and e.event_type = 'STEP_STARTED' and e.event_index > done_index) as park_index from d""", (EV,))(lambda e: redo.goal_boundaries(e, GOALS))
@@ -233,6 +243,8 @@ _FREE = f"status not in ('finished', 'errored', 'aborted') and coalesce(lease_ow
 add("L01_create_runs", f"with {_WANTED} select w.run_id, case when status is null then 'created' else 'existing' end as verdict, coalesce(status, 'queued') as status from w left join wf_runs using (run_id)", (RU, DE))(lambda r, d: transitions.create_runs(r, _wanted(d)))
 add("L02_mark_paused", f"select run_id, 'paused' as status, '{TIMER}' as wait_name, {NOW}::bigint as wake_at, null::varchar as lease_owner, null::bigint as lease_expires_at from wf_runs where status = 'running'", (RU,))(lambda r: transitions.mark(r, r.where("status = 'running'"), "paused", TIMER, NOW))
 add("L03_mark_finished", "select run_id, 'finished' as status, null::varchar as wait_name, null::bigint as wake_at, null::varchar as lease_owner, null::bigint as lease_expires_at from wf_runs where status = 'paused'", (RU,))(lambda r: transitions.mark(r, r.where("status = 'paused'"), "finished"))
+add("L04_mark_errored", "select run_id, 'errored' as status, null::varchar as wait_name, null::bigint as wake_at, null::varchar as lease_owner, null::bigint as lease_expires_at from wf_runs where status = 'queued'", (RU,))(lambda r: transitions.mark(r, r.where("status = 'queued'"), "errored"))
+add("L10_is_cancelled", "select run_id, status = 'aborted' as cancelled from wf_runs", (RU,))(lambda r: r.select("run_id", (F.col("status") == "aborted").alias("cancelled")))
 add("L05_claim_verdict", f"select run_id, case when {_FREE} then 'claimed' else 'not_claimable' end as verdict, case when {_FREE} then {NOW + 30_000}::bigint end as new_expires_at from wf_runs", (RU,))(lambda r: transitions.claim_verdicts(r, r, OWNER, NOW))
 add("L06_heartbeat", f"select run_id, {NOW + 30_000}::bigint as lease_expires_at from wf_runs where lease_owner = '{OWNER}'", (RU,))(lambda r: transitions.heartbeat(r, OWNER, NOW))
 add("L07_release", f"select run_id, status from wf_runs where lease_owner = '{OWNER}'", (RU,))(lambda r: transitions.release(r, OWNER))
@@ -260,6 +272,10 @@ when r.status = 'paused' and coalesce(wait_name = name, false) then 'delivered'
 add("T05_buffer_verdict", f"""select d.run_id, signal_id, case when r.status is null then 'not_found' when already_delivered then 'duplicate'
 when r.status in ('finished', 'errored', 'aborted') or name = '{TIMER}' then 'not_waiting' else 'buffered' end as verdict from wf_deliveries d left join wf_runs r using (run_id)""", (DE, RU))(lambda d, r: transitions.buffer_signals(r, d))
 add("T06_inbox_head", """select run_id, name, arg_min(signal_id, signal_id) as signal_id from wf_deliveries group by 1, 2""", (DE,))(lambda d: transitions.inbox_heads(d.withColumn("sequence", F.col("signal_id"))))
+add("T07_step_signal_verdict", """with a as (select run_id, step_id, arg_max(name, event_index) as name from wf_events where event_type = 'SIGNAL_AWAITED' group by 1, 2), s as (select distinct run_id, step_id from wf_events)
+select s.run_id, s.step_id, name, case when name is null then 'lost' else 'resolved' end as verdict from s left join a using (run_id, step_id)""", (EV,))(lambda e: transitions.step_signal_verdicts(e, e.select("run_id", "step_id").distinct()))
+add("T09_approval_verdict", """with s as (select distinct run_id, name from wf_events) select run_id, name, case when exists (from wf_events e where e.run_id = s.run_id and e.name = s.name and e.event_type = 'APPROVAL_REQUESTED')
+then 'resolved' else 'lost' end as verdict from s""", (EV,))(lambda e: transitions.approval_verdicts(e, e.select("run_id", "name").distinct()))
 add("T08_signal_verdict", """with a as (select run_id, name, arg_max(step_id, event_index) as step_id from wf_events where event_type = 'SIGNAL_AWAITED' group by 1, 2),
 s as (select distinct run_id, 'sig-' || i as name from wf_events cross join range(4) x(i)) select s.run_id, s.name, step_id, case when step_id is null then 'lost' else 'resolved' end as verdict
 from s left join a using (run_id, name)""", (EV,))(lambda e: transitions.signal_verdicts(e, e.select("run_id").distinct().withColumn("name", F.explode(F.array(*[F.lit(f"sig-{i}") for i in range(4)])))))
@@ -340,6 +356,13 @@ def _attach(e: DataFrame) -> DataFrame:
     return log.attach(runs, e)
 
 
+@add("W07_state_deltas", """with b as (select run_id, event_index, body, lag(body) over (partition by run_id order by event_index) as old from wf_events where body is not null)
+select run_id, event_index, '/k' as path from b where old is not null and old <> body""", (EV,))
+def _deltas(e: DataFrame) -> DataFrame:
+    states = e.where("body is not null").select("run_id", "event_index", F.col("body").alias("state"))
+    return live.state_deltas(states).select("run_id", "event_index", F.array_join("delta.path", ",").alias("path"))
+
+
 @add("W09_live_step_states", _STATES + "select * from s", (EV,))
 def _live(e: DataFrame) -> DataFrame:
     base = e.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
