@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_near_dedup": near_dedup.SQL,
         "op3_mixing": mixing.SQL,
         "op4_chat_format": chat_format.SQL,
         "op5_url_filter": url_filter.SQL,
