@@ -6,6 +6,8 @@ cost one level. Nodes never reach the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,23 +69,18 @@ def adjacency(edges: DataFrame, block: int = 1024) -> DataFrame:
 
 def topological_levels(edges: DataFrame) -> DataFrame:
     """node, level: the longest path that leads to it. Raises CycleError where some nodes never become free."""
-    waiting = cut(degrees(edges).select("node", F.col("in_degree").alias("left")))
-    done, level = waiting.where("left = 0").select("node", F.lit(0).alias("level")), 0
-    parts = [done]
-    while not waiting.isEmpty():
-        free = waiting.where("left = 0").select("node")
-        freed = edges.join(free.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-        rest = waiting.where("left > 0").join(freed, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
-        before, waiting, level = waiting, cut(rest), level + 1
-        new = waiting.where("left = 0").select("node", F.lit(level).alias("level"))
-        if not waiting.isEmpty() and new.isEmpty():
+    waiting, level, parts = cut(degrees(edges).select("node", F.col("in_degree").alias("left"))), 0, []
+    while True:
+        n, n_free = waiting.agg(F.count("*"), F.count_if(F.col("left") == 0)).first()
+        if n and not n_free:
             raise CycleError("a cycle keeps some nodes from any order")
-        parts.append(new)
-        del before
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        free = waiting.where("left = 0").select("node", F.lit(level).alias("level"))
+        parts.append(free)
+        if n == n_free:
+            return reduce(DataFrame.union, parts)
+        freed = edges.join(free.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+        rest = waiting.where("left > 0").join(freed, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
+        waiting, level = cut(rest), level + 1
 
 
 def renumbered(levels: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def reseed_plan(events: DataFrame, edges: DataFrame, runs: DataFrame | None = No
     each = runs.withColumn("step_id", F.explode(F.array(*[F.lit(r.step_id) for r in steps.orderBy("step_id").collect()])))
     unfinished = each.join(fold.finished_steps(events), ["run_id", "step_id"], "left_anti")
     reach = closure(edges)
-    return unfinished.join(F.broadcast(reach), unfinished.step_id == reach.seed).select("run_id", F.col("node").alias("step_id")).distinct()
+    return unfinished.join(reach, unfinished.step_id == reach.seed).select("run_id", F.col("node").alias("step_id")).distinct()
 
 
 def reseed_import(events: DataFrame, source: str, redo: list[str]) -> DataFrame:
