@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
 
     star = members.where((F.col("id") != F.col("lo")) & similar_sizes("n_shingles", "n_lo", threshold)).select(F.col("lo").alias("a"), F.col("id").alias("b"))
     links = links_of(star, "star")
-    groups = components(links, work, "star-components")
+    groups = work.save(components(links, work, "star-components"), "star-groups")
 
     # leaders with classes under one key that are still apart
     of_key = work.save(labelled(members.where("id != lo").select("key", "lo", "id", F.col("n_shingles").alias("n")), groups), "labelled")
@@ -289,11 +289,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     profile = apart.join(outside.drop("others"), ["lo", "id"]).join(known, ["lo", "id"], "left").fillna(0, ["frequent", "n_rare"])
     profile = work.save(profile.withColumn("inside", F.col("common") + F.col("frequent")).drop("common", "frequent"), "profile")
 
-    links = links.union(links_of(second_leaders(labelled(profile, groups), threshold), "second"))
-    groups = components(links, work, "second-components")
+    links = links_of(second_leaders(labelled(profile, groups), threshold), "second")
+    groups = work.save(components(links, work, "second-components", groups), "second-groups")
     rest = narrowed(labelled(profile, groups), held.where(F.col("holders") <= RARE).drop("holders"), threshold)
-    links = links.union(links_of(rest, "rest"))
-    groups = work.save(components(links, work, "components"), "groups")
+    groups = work.save(components(links_of(rest, "rest"), work, "components", groups), "groups")
     work.drop("members", "labelled", "apart", "outside", "held", "profile", "class-sketches", "star-survivors", "second-survivors", "rest-survivors")
 
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(groups, "id", "left")
