@@ -5,7 +5,8 @@ what it cannot give goes to the others by weight. A source's rate over training
 1 + tilt * (2u - 1), times its target; the integral up to u is its cumulative demand,
 target * (tilt * u^2 + (1 - tilt) * u). A source offers its documents in the order of a digest of their ids,
 pass after pass; the document that starts at offset c of the offered words enters where cumulative demand
-reaches c, found by inverting the integral. Documents are range-sorted by that position.
+reaches c, found by inverting the integral, and enters again a source's size later in each further pass.
+The mix is range-sorted by the positions of all passes together.
 
 Offsets are prefix sums. The order is cut into SLICES by the digest's first digits, so that no task sums
 more than a slice of one source: sizes per source and slice first, their prefix sums next, and then running
@@ -69,9 +70,10 @@ def targets(source_sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, share_percent
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, position.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, position, positions.
 
-    position is the training time at which the document first enters, in millionths of a word's share (null if it never does).
+    position is the training time at which the document first enters, in millionths of a word's share (null if it never does);
+    positions holds that of each of the REPEATS passes, null for passes that do not reach the document.
     """
     spark = docs.sparkSession
     work = shared.Workspace(spark, "mixing")
@@ -91,10 +93,15 @@ def _entries() -> list[F.Column]:
     for done in range(REPEATS):
         # of this pass, the words from offset on that lie before the end
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), end - F.col("offset") - F.col("source_size") * done))
-    k, y = F.col("tilt") / 100.0, F.col("offset") / F.col("target")
-    u = F.when(F.col("tilt") == 0, y).otherwise((F.sqrt((1 - k) * (1 - k) + 4 * k * y) - (1 - k)) / (2 * k))
-    position = F.when((F.col("target") > 0) & (F.col("offset") < end), F.floor(u * 1_000_000).cast("long"))
-    return [taken.cast("long").alias("taken"), position.alias("position")]
+    k = F.col("tilt") / 100.0
+
+    def position(done: int) -> F.Column:
+        offset = F.col("offset") + F.col("source_size") * done
+        y = offset / F.col("target")
+        u = F.when(F.col("tilt") == 0, y).otherwise((F.sqrt((1 - k) * (1 - k) + 4 * k * y) - (1 - k)) / (2 * k))
+        return F.when((F.col("target") > 0) & (offset < end), F.floor(u * 1_000_000).cast("long"))
+
+    return [taken.cast("long").alias("taken"), position(0).alias("position"), F.array(*map(position, range(REPEATS))).alias("positions")]
 
 
 def range_sorted(planned: DataFrame) -> DataFrame:
@@ -106,20 +113,20 @@ def range_sorted(planned: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared.Workspace(spark, "mix-query")
-    planned = work.save(plan(shared.table(spark, sf_dir, "documents")), "plan")
+    planned = work.save(plan(shared.table(spark, sf_dir, "documents")).drop("positions"), "plan")
     return range_sorted(planned).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix has them: a row for each pass that reaches the document (whole, also where the demand
-    ends inside it), none for documents that are not reached, range-sorted by position; the columns of docs."""
+    ends inside it), none for documents that are not reached, range-sorted by the positions of all passes; the columns of docs."""
     work = shared.Workspace(docs.sparkSession, "mix")
-    entered = plan(docs).where("taken > 0").groupBy("doc_id").agg(F.min("position").alias("_position"), F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_passes"))
-    entered = work.save(entered, "entered").withColumnRenamed("doc_id", "_doc_id")
+    first_of_id = F.array(*(F.min(F.get("positions", F.lit(done))) for done in range(REPEATS)))
+    entered = work.save(plan(docs).where("taken > 0").groupBy("doc_id").agg(first_of_id.alias("_positions")), "entered").withColumnRenamed("doc_id", "_doc_id")
     rows = docs.select(F.struct("*").alias("d")).join(entered, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
+    rows = rows.select("d", "_doc_id", F.posexplode("_positions").alias("_pass", "_position")).where("_position is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["_pass", "_position", "_doc_id"]
+    order = ["_position", "_doc_id", "_pass"]
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("d.*")
 
 

@@ -68,3 +68,25 @@ def test_mixed_rows_and_edges(spark):
     empty = spark.createDataFrame([(1, "a", None), (2, "b", "")], "doc_id long, source string, text string")
     assert [(r.target, r.taken) for r in mixing.plan(empty).collect()] == [(0.0, 0)] * 2
     assert mixing.range_sorted(planned).count() == len(rows)
+
+
+def test_mixed_order_against_brute_merge(spark):
+    """Every pass enters at its own position: the mix is a merge of all passes of all sources."""
+    rows = [(i, f"s{i % 5}", "w " * (1 + i * 37 % 101)) for i in range(400)]
+    plan = brute_plan(rows)
+    source, entries, offset = {i: s for i, s, _ in rows}, [], {}
+    for _, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in source):
+        size, total, target, _ = plan[i]
+        k, at = mixing.TILTS[int(source[i][1:]) % 3] / 100, offset.get(source[i], 0)
+        for done in range(mixing.REPEATS):
+            if at + done * total < int(target + 0.5):
+                y = (at + done * total) / target
+                u = y if not k else (((1 - k) * (1 - k) + 4 * k * y) ** 0.5 - (1 - k)) / (2 * k)
+                entries.append((int(u * 1_000_000), i, done))
+        offset[source[i]] = at + size
+    assert {done for _, _, done in entries} == {0, 1}
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == [i for _, i, _ in sorted(entries)]
+    got = {r.doc_id: r.positions for r in mixing.plan(docs).collect()}
+    assert all(got[i][done] == at for at, i, done in entries)
+    assert sum(p is not None for ps in got.values() for p in ps) == len(entries)
