@@ -5,7 +5,8 @@ end mark; contexts never cross words. Each language's model is fitted on a bound
 texts. All models live in common arrays sorted by the hash of an n-gram: one row of probabilities per
 n-gram seen, one row of back-off weights per context seen, a column per language. A text's score under a
 language is its cross-entropy in bits per character; the lowest wins. Texts whose best cross-entropy lies
-above a bound calibrated on other labelled texts of that language and length are rejected.
+above a bound calibrated on other labelled texts of that language and length are rejected. As few texts are
+short, length classes under 32 characters are calibrated on runs of words cut from those texts as well.
 
 Defined results: null texts and texts without a letter are `und`, score 0, and rejected; with no labelled
 text at all every text is `und`; ties go to the language that sorts first; rows with a null id never are
@@ -31,6 +32,9 @@ ORDER = 5
 SAMPLE_PER_LANGUAGE = 3000
 #: Share of a language's own calibration texts that may lie above the bound, and the slack beyond that.
 REJECT_SHARE, SLACK = 0.001, 1.05
+#: Length classes below this one (under 32 characters) calibrate on runs of words too: so many a text and class;
+#: a class of fewer than FEW texts and runs is pooled with the next shorter one.
+SHORT_CLASSES, RUNS, FEW = 6, 4, 30
 #: Distinct words a task keeps before it starts anew.
 WORD_LIMIT = 300_000
 START, END = "\x02", "\x03"
@@ -225,6 +229,25 @@ def predict(text: Column, models: Models | None) -> Column:
     return scored(text)
 
 
+def runs(ws: list[str]) -> Iterator[str]:
+    """Runs of words, begun at RUNS places of a text, that just reach a short length class."""
+    for c in range(2, SHORT_CLASSES):
+        for i in range(RUNS):
+            first = end = i * len(ws) // RUNS
+            n = 0
+            while n < 2 ** (c - 1) and end < len(ws):
+                n += len(ws[end]) + 1
+                end += 1
+            if length_class(n) == c:
+                yield " ".join(ws[first:end])
+
+
+def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        cut = [(lang, run, True) for lang, text in zip(rows.lang, rows.text, strict=True) for run in runs(words(text))]
+        yield pd.DataFrame([(lang, text, False) for lang, text in zip(rows.lang, rows.text, strict=True)] + cut, columns=["lang", "text", "run"])
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Models | None:
     """Models of the labelled rows of docs (doc_id, text, lang) that are not held out, with calibrated bounds."""
     shared.small_batches(docs.sparkSession)
@@ -233,13 +256,16 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Models | No
     models = fit_models(count_grams(chosen.where("not calibrates")).toPandas())
     if models is None:
         return None
-    own = chosen.where("calibrates").select("lang", predict(F.col("text"), models).alias("p")).where("p.lang = lang")
+    texts = chosen.where("calibrates").select("lang", "text").mapInPandas(_with_runs, "lang string, text string, run boolean")
+    # a run may read as another language and must stay there too
+    own = texts.select("lang", "run", predict(F.col("text"), models).alias("p")).where("p.lang = lang or run and p.n_chars > 0")
     classes = F.least(F.length(F.bin("p.n_chars")), F.lit(31))
-    limits = own.groupBy("lang", classes.alias("c")).agg(F.percentile_approx("p.bits", 1 - REJECT_SHARE, 10_000).alias("bits")).collect()
+    limits = own.groupBy("p.lang", classes.alias("c")).agg(F.percentile_approx("p.bits", 1 - REJECT_SHARE, 10_000).alias("bits"), F.count("*").alias("n")).collect()
     bounds = np.full((len(models.langs), 32), np.nan)
     for r in limits:
         bounds[models.langs.index(r.lang), r.c] = r.bits * SLACK
-    for row in bounds:
+    texts_of = {(r.lang, r.c): r.n for r in limits}
+    for lang, row in zip(models.langs, bounds, strict=True):
         # shorter texts vary more: no bound is below that of a longer class, and classes without texts take the next shorter one's
         longer = -np.inf
         for c in range(31, -1, -1):
@@ -247,7 +273,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Models | No
         shortest = np.argmax(row > -np.inf) if (row > -np.inf).any() else 32
         row[:shortest] = np.inf
         row[row == -np.inf] = row[row > -np.inf].min() if (row > -np.inf).any() else np.inf
-        row[: min(6, 32)] = np.inf
+        for c in range(1, SHORT_CLASSES):
+            if texts_of.get((lang, c), 0) < FEW:
+                row[c] = row[c - 1]
     models.bounds = bounds
     return models
 

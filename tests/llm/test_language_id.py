@@ -75,3 +75,17 @@ def test_edges(spark):
     assert kept.columns == docs.columns and {200, 201, 202}.isdisjoint(r.doc_id for r in kept.collect())
     assert li.fit(docs.limit(0)) is None and li.keep_identified(docs.limit(0)).count() == 0
     assert docs.select(li.predict(docs.text, None).alias("p")).where("p.lang != 'und'").count() == 0
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    models = li.fit(docs)
+    scorer = li.Scorer(models)
+    foreign = ["привет мир", "ξένος λόγος", "xqzjv kwqxz", "日本語の文", "zxq vkjw qqx", "джщъ"]
+    assert [scorer.score([t])[0][4] for t in foreign] == [True] * len(foreign)
+    assert [scorer.score([" ".join([t] * 40)])[0][4] for t in foreign] == [True] * len(foreign)
+    clean = docs.where(li.shared.held_out(docs.doc_id) & docs.lang.isNotNull() & docs.text.isNotNull()).toPandas()
+    cut = [" ".join(ws[at : at + n]) for ws in map(li.words, clean.text) for at in range(0, min(len(ws), 40), 10) for n in (1, 2, 4)]
+    assert len(cut) > 500
+    assert sum(r[4] for r in scorer.score(cut)) <= 0.02 * len(cut)
+    assert sum(r[4] for r in scorer.score(clean.text.tolist())) <= 0.02 * len(clean)
