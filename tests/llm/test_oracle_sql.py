@@ -1,12 +1,9 @@
-import os
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
-from oracle import same  # noqa: E402
+from llm_oracle import same
 
-from runledger.llm import queries  # noqa: E402
+from runledger.llm import queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -1,13 +1,10 @@
 import hashlib
-import os
 import re
-import sys
 
 import sentencepiece
 
-sys.path.insert(0, os.path.dirname(__file__))
-from test_mixing import brute_plan  # noqa: E402
-from test_near_dedup import brute  # noqa: E402
+from test_mixing import brute_plan
+from test_near_dedup import brute
 
 FOLDER = "/root/testdata/sf0.001"
 
