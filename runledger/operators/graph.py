@@ -1,25 +1,27 @@
 """Graphs as edge tables (src, dst): counters by aggregation, orders and closures by frontier loops.
 
-Loops run one small join per level; each level is checkpointed, so lineage stays short and lost executors
-cost one level. Nodes never reach the driver.
+Loops run a small job per level and write each level to the shared folder (lineage.Levels), so a level plans and runs
+in the same time whatever came before, and lost executors cost one level. Nodes never reach the driver. The
+number of jobs is the depth of the graph: thousands of levels are thousands of jobs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import Levels
 
 
 class CycleError(ValueError):
     pass
 
 
-def nodes_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+def nodes_of(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The ends of edges, and the nodes given besides, with or without edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    return (ends if nodes is None else ends.union(nodes.select("node"))).distinct()
 
 
 def edge_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,9 +32,11 @@ def edge_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.select("src", "dst", fault.alias("fault")).where("fault is not null")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """node, out_degree, in_degree."""
+def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, out_degree, in_degree; nodes (node) without edges have zeros."""
     both = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    if nodes is not None:
+        both = both.union(nodes.select("node", F.lit(0), F.lit(0)))
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
@@ -67,40 +71,65 @@ def adjacency(edges: DataFrame, block: int = 1024) -> DataFrame:
     return d.join(before, "block").select("node", first.alias("first"), F.col("out_degree").alias("degree"))
 
 
-def topological_levels(edges: DataFrame) -> DataFrame:
-    """node, level: the longest path that leads to it. Raises CycleError where some nodes never become free."""
-    waiting, level, parts = cut(degrees(edges).select("node", F.col("in_degree").alias("left"))), 0, []
-    while True:
-        n, n_free = waiting.agg(F.count("*"), F.count_if(F.col("left") == 0)).first()
-        if n and not n_free:
-            raise CycleError("a cycle keeps some nodes from any order")
-        free = waiting.where("left = 0").select("node", F.lit(level).alias("level"))
-        parts.append(free)
-        if n == n_free:
-            return reduce(DataFrame.union, parts)
-        freed = edges.join(free.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-        rest = waiting.where("left > 0").join(freed, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
-        waiting, level = cut(rest), level + 1
-
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, level: the longest path that leads to it. Raises CycleError where some nodes never become free.
 
-def renumbered(levels: DataFrame) -> DataFrame:
-    """node, new_node: dense numbers in the order of level and node; counted per level first, then inside levels."""
-    per = levels.groupBy("level").agg(F.count("*").alias("n"))
-    before = per.select("level", F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy("level").orderBy("node")) - 1
-    return levels.join(before, "level").select("node", (F.col("before") + at).alias("new_node"))
+    Each round frees the nodes without edges from waiting ones and takes their edges off; what waits is written anew,
+    what is free is written once.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("src", "dst").persist(StorageLevel.DISK_ONLY)
+    waits, freed = Levels(spark, "waiting"), Levels(spark, "levels")
+    waiting = waits.append(degrees(edges, nodes).select("node", F.col("in_degree").alias("left")))
+    try:
+        while not waiting.isEmpty():
+            free = freed.append(waiting.where("left = 0").select("node"))
+            if free.isEmpty():
+                raise CycleError("a cycle keeps some nodes from any order")
+            gone = edges.join(free.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+            rest = waiting.where("left > 0").join(gone, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
+            waiting = waits.append(rest)
+            waits.drop(waits.n - 2)
+    finally:
+        edges.unpersist()
+        waits.drop()
+    return freed.all() if freed.n else waiting.select("node", F.lit(0).alias("level"))
+
+
+def renumbered(levels: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """node, new_node: dense numbers in the order of level and node.
+
+    Nodes are dealt by level and range of nodes into groups of about a block, counted per group first, then numbered
+    inside groups, so that no task orders a whole level. Strings are dealt by sampled ranges like numbers.
+    """
+    spark = levels.sparkSession
+    rows = Levels(spark, "numbered")
+    parts = max(1, -(-levels.count() // block))
+    ranged = levels.repartitionByRange(parts, "level", "node").select("level", "node", F.spark_partition_id().alias("part"))
+    ranged = rows.append(ranged)
+    # one row per range of nodes
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("level", "node")) - 1
+    return ranged.join(F.broadcast(starts), "part").select("node", (F.col("before") + at).alias("new_node"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node: the seeds and all that they reach."""
-    frontier = cut(seeds.select("node").distinct())
-    seen = frontier
-    step = edges.select(F.col("src").alias("node"), "dst")
+    """The seeds and all that they reach: node, and the other columns of seeds, which stay apart from each other.
+
+    Columns that edges share with seeds besides (say, a workflow) must be equal along a path.
+    """
+    spark = edges.sparkSession
+    key = seeds.columns
+    on = [c for c in key if c != "node" and c in edges.columns]
+    step = edges.select(*on, F.col("src").alias("node"), "dst").persist(StorageLevel.DISK_ONLY)
+    seen = Levels(spark, "reached")
+    frontier = seen.append(seeds.select(*key).distinct())
     while not frontier.isEmpty():
-        new = step.join(frontier, "node", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti"))
-        seen = cut(seen.union(frontier))
-    return seen
+        new = frontier.join(step, [*on, "node"]).select(*[F.col("dst").alias("node") if c == "node" else F.col(c) for c in key]).distinct()
+        frontier = seen.append(new.join(seen.all().drop("level"), key, "left_anti"))
+    step.unpersist()
+    return seen.all().select(*key)
 
 
 def descendants_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -119,7 +148,6 @@ def sub_dag_nodes(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFra
 
 def sub_dag_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst, new_src, new_dst: edges between the nodes, with dense numbers in the order of nodes."""
-    ids = nodes.select("node", F.lit(0).alias("level"))
-    ids = renumbered(ids)
+    ids = renumbered(nodes.select("node", F.lit(0).alias("level")))
     src, dst = ids.select(F.col("node").alias("src"), F.col("new_node").alias("new_src")), ids.select(F.col("node").alias("dst"), F.col("new_node").alias("new_dst"))
     return edges.join(src, "src").join(dst, "dst").select("src", "dst", "new_src", "new_dst")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import fold, graph
 
+#: Steps of a shape that is not named by workflow.
+MOST_STEPS = 10_000
+
 
 def shape_faults(steps: DataFrame, deps: DataFrame) -> DataFrame:
     """step_id, fault of a shape: steps (step_id), deps (step_id, needs). Duplicates, needs that are no step, loops."""
@@ -21,19 +24,6 @@ def shape_edges(deps: DataFrame) -> DataFrame:
     return deps.select(F.col("needs").alias("src"), F.col("step_id").alias("dst"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """seed, node: each node with itself and all it reaches. For shapes of workflows, which are small; runs stay distributed."""
-    nodes = graph.nodes_of(edges)
-    pairs = graph.cut(nodes.select(F.col("node").alias("seed"), "node"))
-    frontier = pairs
-    step = edges.select(F.col("src").alias("node"), "dst")
-    while not frontier.isEmpty():
-        new = frontier.join(step, "node").select("seed", F.col("dst").alias("node")).distinct()
-        frontier = graph.cut(new.join(pairs, ["seed", "node"], "left_anti"))
-        pairs = graph.cut(pairs.union(frontier))
-    return pairs
-
-
 def invalidation_set(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The seeds and all that depends on them. Raises ValueError for a seed that is no step."""
     unknown = seeds.join(graph.nodes_of(edges), "node", "left_anti")
@@ -42,15 +32,35 @@ def invalidation_set(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return graph.reachable(edges, seeds)
 
 
-def reseed_plan(events: DataFrame, edges: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """run_id, step_id to redo in each run: the steps that never finished, and all that depends on them."""
-    steps = graph.nodes_of(edges).select(F.col("node").alias("step_id"))
-    runs = (runs if runs is not None else events).select("run_id").distinct()
-    # runs times steps of one shape: every run has every step
-    each = runs.withColumn("step_id", F.explode(F.array(*[F.lit(r.step_id) for r in steps.orderBy("step_id").collect()])))
-    unfinished = each.join(fold.finished_steps(events), ["run_id", "step_id"], "left_anti")
-    reach = closure(edges)
-    return unfinished.join(reach, unfinished.step_id == reach.seed).select("run_id", F.col("node").alias("step_id")).distinct()
+def reseed_plan(events: DataFrame, edges: DataFrame, runs: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """run_id, step_id to redo in each run: the steps that never finished, and all that depends on them.
+
+    Edges with a column workflow_id hold a shape per workflow, and runs must name theirs; without it, all runs share one
+    shape. seeds (step_id, and run_id where runs differ) take the place of the unfinished steps; one that is no step of
+    its run's shape is an error. The closure starts from each run's own seeds.
+    """
+    runs = (runs if runs is not None else events).select(*(["run_id", "workflow_id"] if "workflow_id" in edges.columns else ["run_id"])).distinct()
+    each = steps_of_runs(runs, edges)
+    if seeds is None:
+        chosen = each.join(fold.finished_steps(events), ["run_id", "step_id"], "left_anti")
+    else:
+        on = [c for c in ("run_id", "step_id") if c in seeds.columns]
+        chosen = each.join(seeds.select(*on).distinct(), on, "left_semi")
+        if not seeds.join(each, on, "left_anti").isEmpty():
+            raise ValueError("a seed is no step of the shape")
+    return graph.reachable(edges, chosen.withColumnRenamed("step_id", "node")).select("run_id", F.col("node").alias("step_id"))
+
+
+def steps_of_runs(runs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The columns of runs with each step_id of the run's shape: an equi-join on workflow_id, or one array of a shape
+    that all runs share, which may have MOST_STEPS steps."""
+    if "workflow_id" in edges.columns:
+        ends = edges.select("workflow_id", F.explode(F.array("src", "dst")).alias("step_id")).distinct()
+        return runs.join(ends, "workflow_id")
+    steps = graph.nodes_of(edges).limit(MOST_STEPS + 1).collect()
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"a shared shape has at most {MOST_STEPS} steps; name workflows instead")
+    return runs.withColumn("step_id", F.explode(F.array(*sorted((F.lit(r.node) for r in steps), key=str))) if steps else F.explode(F.array().cast("array<string>")))
 
 
 def reseed_import(events: DataFrame, source: str, redo: list[str]) -> DataFrame:
@@ -78,10 +88,10 @@ def policy_plan(events: DataFrame, edges: DataFrame, source: str, redo: list[str
     """step_id, action, result for every step of the shape: run what the source never finished, what is asked for,
     and all that depends on either; skip the rest with the source's results."""
     own = events.where(F.col("run_id") == source)
-    planned = reseed_plan(own, edges).select("step_id")
-    asked = graph.nodes_of(edges).where(F.col("node").isin(*redo))
-    again = planned.union(graph.reachable(edges, asked).select(F.col("node").alias("step_id"))).distinct().withColumn("again", F.lit(True))
     steps = graph.nodes_of(edges).select(F.col("node").alias("step_id"))
+    finished = fold.finished_steps(own).select("step_id")
+    from_here = steps.join(finished, "step_id", "left_anti").union(steps.where(F.col("step_id").isin(*redo)))
+    again = graph.reachable(edges, from_here.select(F.col("step_id").alias("node"))).select(F.col("node").alias("step_id"), F.lit(True).alias("again"))
     both = steps.join(again, "step_id", "left").join(fold.load_results(own).select("step_id", "result"), "step_id", "left")
     skip = F.col("again").isNull() & F.col("result").isNotNull()
     return both.select("step_id", F.when(skip, "skip").otherwise("run").alias("action"), F.when(skip, F.col("result")).alias("result"))
