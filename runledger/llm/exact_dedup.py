@@ -2,28 +2,35 @@
 
 Keys are 64-bit hashes of texts without white space. A first pass writes one narrow posting per document to
 the shared folder. A directory maps the top bits of a key to a bucket: starting from one bucket, every
-bucket with more entries than fit splits on its next bit, and the directory doubles when a bucket is split
-that uses all its bits. The end of these splits is found at once, from entry counts per prefix at each depth. Buckets are
-contiguous key ranges; one task owns and writes each. Under a key, the texts that share it are told apart by
-comparing bytes; each further text is a link of the key's chain. Only texts whose key occurs more than once
-are compared, and equal texts collapse in each task before they move.
+bucket with more keys than fit splits on its next bit, and the directory doubles when a bucket is split
+that uses all its bits. The end of these splits is found at once, from key counts per prefix, with as many bits as
+no bucket needs more. Buckets are contiguous key ranges.
+
+Postings are collapsed per key, digest and salt, so that no group of copies is dealt row by row, and are then dealt by bucket.
+The owner of a bucket merges what it is dealt, compares the bytes of the texts under every key that occurs more
+than once, chains the different texts of a key, chooses which document stays, and writes the bucket's file. All
+answers are read from these files. Texts that were compared are one link of a chain only if their least and
+greatest bytes are the same; the digest that names a link in the files is checked by that comparison.
 
 Defined results: a null text counts as empty; rows that repeat a doc_id with an equal text all count in
 group_size and share one decision; a null doc_id loses ties, and stays only where no other row has as many
 code points; `kept` compares ids null-safely; only doc_id and text are read, so other columns cannot clash.
+keep_first leaves one row of each group, also where ids are null or shared by several texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Entries a bucket holds before it splits, and the most bits of a key that the directory uses (4,096 slots).
-BUCKET_ENTRIES, DIRECTORY_BITS = 100_000, 12
-#: Keys that occur more than once are broadcast to filter texts up to this count (16 bytes each, so 16 MB).
-BROADCAST_KEYS = 1_000_000
+#: Keys a bucket holds before it splits, and the salts that a group of copies is collapsed by before it is dealt.
+BUCKET_KEYS, SALTS = 32_768, 16
+#: Slots of the directory that are broadcast (24 bytes each); a larger directory is joined by shuffles.
+BROADCAST_SLOTS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -36,73 +43,83 @@ def key_of(text: Column, key_bits: int = 64) -> Column:
     return h if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - key_bits), 64 - key_bits)
 
 
-def slot(key: Column, bits: int = DIRECTORY_BITS) -> Column:
-    return F.shiftrightunsigned(key, 64 - bits)
+def slot(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def slot_counts(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(slot, n) at the fewest bits, in steps of two, at which no slot overflows; and these bits.
+
+    keys (key) are distinct, so at 63 bits a slot has two at most.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, keys.count() / capacity)))) + 2
+    while True:
+        counts = keys.groupBy(slot(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n"))
+        fullest = counts.agg(F.max("n")).first()[0] or 0
+        if fullest <= max(capacity, 2) or bits >= 63:
+            return counts, bits
+        bits = min(63, bits + 2)
 
 
-def directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, bits: int = DIRECTORY_BITS) -> DataFrame:
+def directory(counts: DataFrame, bits: int, capacity: int = BUCKET_KEYS) -> DataFrame:
     """(slot, depth, bucket) for each slot in use: bucket is the first slot of its key range, depth its bits.
 
     A bucket of depth d holds the keys that share d top bits; it is the shallowest that fits, as each split
-    adds a bit. A bucket that overflows with all bits used keeps its entries.
+    adds a bit.
     """
-    counts = keys.groupBy(slot(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n"))
     at_depth = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    range_start = F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)")
-    sizes = at_depth.groupBy("depth", range_start.alias("bucket")).agg(F.sum("n").alias("n"))
-    fits = sizes.where((F.col("n") <= capacity) | (F.col("depth") == bits)).select("depth", "bucket")
-    slots = counts.select("slot", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-    return slots.withColumn("bucket", range_start).join(fits, ["depth", "bucket"]).groupBy("slot").agg(F.min("depth").alias("depth"), F.min_by("bucket", "depth").alias("bucket"))
-
-
-def build_index(docs: DataFrame, work: shared.Workspace, capacity: int = BUCKET_ENTRIES, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc_id, key, link, code_points, text_sha256) and the index (bucket, depth, key, link, keep_id, group_size)."""
-    text = normalised(F.col("text"))
-    postings = docs.select("doc_id", "text").withColumn("plain", text)
-    postings = postings.select("doc_id", key_of(F.col("plain"), key_bits).alias("key"), F.length(F.coalesce("text", F.lit(""))).alias("code_points"), F.sha2("plain", 256).alias("text_sha256"))
-    postings = work.save(postings, "postings")
-
-    repeated = work.save(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    # compare bytes under each repeated key
-    candidates = docs.select("doc_id", text.alias("plain")).withColumn("key", key_of(F.col("plain"), key_bits))
-    few = repeated.count() <= BROADCAST_KEYS
-    candidates = candidates.join(F.broadcast(repeated) if few else repeated, "key", "left_semi")
-    chained = work.save(candidates.select("key", "plain").distinct().groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "chained")
-    if chained.isEmpty():
-        linked = postings.withColumn("link", F.lit(0))
-    else:
-        own = candidates.select("doc_id", "key", "plain").join(chained, "key", "left_semi")
-        order = F.rank().over(shared_window("key", "plain"))
-        links = own.select("key", "plain").distinct().withColumn("link", order)
-        of_doc = own.join(links, ["key", "plain"]).select(F.col("doc_id").alias("of"), "key", "link", F.sha2("plain", 256).alias("text_sha256")).distinct()
-        # a doc_id may repeat with several texts under one key: its digest tells which
-        p, o = postings.alias("p"), of_doc.alias("o")
-        same = (F.col("p.key") == F.col("o.key")) & (F.col("p.text_sha256") == F.col("o.text_sha256")) & F.col("p.doc_id").eqNullSafe(F.col("o.of"))
-        linked = p.join(o, same, "left").select("p.*", F.coalesce("o.link", F.lit(0)).alias("link"))
-        linked = work.save(linked, "linked")
-
-    best = F.max_by(F.col("doc_id"), F.struct(F.col("code_points"), F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    entries = linked.groupBy("key", "link").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-    entries = work.save(entries, "entries")
-    slots = F.broadcast(directory(entries, capacity))  # DIRECTORY_BITS bounds it to 4,096 rows
-    owned = entries.withColumn("slot", slot(F.col("key"))).join(slots, "slot").drop("slot")
-    owners = max(1, min(2**DIRECTORY_BITS, -(-entries.count() // capacity)))
-    index = work.save(owned.repartitionByRange(owners, "bucket").sortWithinPartitions("key", "link"), "index", partition_by="bucket")
-    return linked, index
-
-
-def shared_window(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
-def deduplicate(docs: DataFrame, capacity: int = BUCKET_ENTRIES, key_bits: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    work = shared.Workspace(docs.sparkSession, "exact-dedup")
+    at_depth = at_depth.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)"))
+    sizes = at_depth.groupBy("depth", "bucket").agg(F.sum("n").alias("size"))
+    fits = sizes.where((F.col("size") <= capacity) | (F.col("depth") == bits)).select("depth", "bucket")
+    found = at_depth.join(shared.small(fits, BROADCAST_SLOTS), ["depth", "bucket"])
+    return found.groupBy("slot").agg(F.min("depth").alias("depth"), F.min_by("bucket", "depth").alias("bucket"))
+
+
+def postings_of(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """Narrow rows: doc_id, key, code_points, text_sha256."""
+    rows = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("code_points"), normalised(F.col("text")).alias("plain"))
+    return rows.select("doc_id", key_of(F.col("plain"), key_bits).alias("key"), "code_points", F.sha2("plain", 256).alias("text_sha256"))
+
+
+def build_index(docs: DataFrame, work: shared.Workspace, capacity: int = BUCKET_KEYS, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Postings, and the index (bucket, depth, key, link, text_sha256, keep_id, keep_points, group_size)."""
+    postings = work.save(postings_of(docs, key_bits), "postings")
+    keys = work.save(postings.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    counts, bits = slot_counts(keys.select("key"), capacity)
+    slots = work.save(directory(work.save(counts, "counts"), bits, capacity), "directory")
+
+    # the texts under keys that occur more than once, to be compared
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("plain")).withColumn("key", key_of(F.col("plain"), key_bits))
+    texts = shared.among(texts, "key", keys.where("n > 1").select("key"))
+    rank = F.struct(F.col("code_points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    rows = postings.select("key", "text_sha256", salt, F.lit(1).alias("n"), rank.alias("best"), F.lit(None).cast("string").alias("plain"))
+    rows = rows.union(texts.select("key", F.sha2("plain", 256), salt, F.lit(0), F.lit(None).cast(rows.schema["best"].dataType), "plain"))
+    merged = [F.sum("n").alias("n"), F.max("best").alias("best")]
+    collapsed = rows.groupBy("key", "text_sha256", "salt").agg(*merged, F.min("plain").alias("least"), F.max("plain").alias("most"))
+
+    # the deal: every row goes to the owner of its bucket
+    owners = max(1, slots.select("bucket").distinct().count())
+    dealt = collapsed.withColumn("slot", slot(F.col("key"), bits)).join(shared.small(slots, BROADCAST_SLOTS), "slot").repartition(owners, "bucket")
+    # what an owner does; neither step moves rows again
+    links = dealt.groupBy("bucket", "depth", "key", "text_sha256").agg(*merged, F.min("least").alias("least"), F.max("most").alias("most"))
+    same = F.when(F.col("least").eqNullSafe(F.col("most")), F.col("text_sha256")).otherwise(F.raise_error(F.lit("different bytes under one digest")))
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")) - 1
+    index = links.select("bucket", "depth", "key", chain.alias("link"), same.alias("text_sha256"), (-F.col("best.low")).alias("keep_id"), F.col("best.code_points").alias("keep_points"), F.col("n").alias("group_size"))
+    index = work.save(index, "index", partition_by="bucket")
+    work.drop("keys", "counts", "directory")
+    return postings, index
+
+
+def decisions(docs: DataFrame, work: shared.Workspace, capacity: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
+    """One row per row of docs: its posting with the keep_id, keep_points and group_size of its link in the index."""
     postings, index = build_index(docs, work, capacity, key_bits)
-    work.drop("repeated", "chained", "entries")
-    found = postings.join(index.select("key", "link", "keep_id", "group_size"), ["key", "link"])
+    return postings.join(index.select("key", "text_sha256", "keep_id", "keep_points", "group_size"), ["key", "text_sha256"])
+
+
+def deduplicate(docs: DataFrame, capacity: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    found = decisions(docs, shared.Workspace(docs.sparkSession, "exact-dedup"), capacity, key_bits)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -111,9 +128,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the index drops; rows of a null doc_id all stay."""
-    dropped = deduplicate(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each group. Rows whose id is null or occurs more than once are told apart by their texts;
+    all others are dropped by id alone."""
+    work = shared.Workspace(docs.sparkSession, "exact-kept")
+    found = work.save(decisions(docs, work).select("doc_id", "text_sha256", "code_points", "keep_id", "keep_points"), "decisions")
+    shared_ids = work.save(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared-ids")
+    dropped = found.where("not doc_id <=> keep_id and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    whole = docs.select(F.struct("*").alias("d"))
+    if shared_ids.isEmpty():
+        return whole.join(dropped, F.col("d.doc_id") == F.col("_id"), "left_anti").select("d.*")
+    own = F.col("d.doc_id").eqNullSafe(F.col("_id"))
+    alone = whole.join(shared_ids.union(dropped), own, "left_anti")
+    several = whole.join(shared_ids, own, "left_semi").withColumn("_sha", F.sha2(normalised(F.col("d.text")), 256)).withColumn("_points", F.length(F.coalesce("d.text", F.lit(""))))
+    stays = found.where("doc_id <=> keep_id and code_points = keep_points").select("doc_id", "text_sha256", "code_points").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("text_sha256")) & (F.col("_points") == F.col("code_points"))
+    return alone.union(several.join(stays, same, "left_semi").dropDuplicates(["_sha"]).select("d")).select("d.*")
 
 
 SQL = r"""

@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
+
 #: Rows in one Arrow batch handed to Python; with texts of 100 kB this keeps a batch within some 50 MB.
 ARROW_ROWS = 512
+#: Keys or ids that are broadcast to filter rows (16 bytes each, so 16 MB); the words of the bitmap that filters for more (16 MB in bits).
+BROADCAST_KEYS, FILTER_WORDS = 1_000_000, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a local one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="runledger-"))
-    return sc.getCheckpointDir()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session, so that Python workers hold few long texts at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
@@ -38,6 +32,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -46,13 +42,49 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables that no returned DataFrame reads."""
+        """Removes tables that no DataFrame in use reads; without names, all of them."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for folder in [f"{self.root}/{name}" for name in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Drops the workspaces made inside the block when it ends: results must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for work in _scopes.pop():
+            work.drop()
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, which its caller knows the width of; else df as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of df whose column is in keys (one column of that name, distinct).
+
+    Up to `most` keys are broadcast. More are first hashed into a bitmap of at most FILTER_WORDS words, which is
+    broadcast and drops most other rows of df where they are read; only what passes is joined by a shuffle.
+    """
+    n = keys.count()
+    if n <= (BROADCAST_KEYS if most is None else most):
+        return df.join(F.broadcast(keys), column, "left_semi")
+    words = max(1, min(FILTER_WORDS, n // 4))
+    h = F.xxhash64(F.lit(41), column)
+    word, mark = F.pmod(h, F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    bitmap = keys.groupBy(word.alias("_word")).agg(F.bit_or(mark).alias("_marks"))
+    maybe = df.join(F.broadcast(bitmap), (word == F.col("_word")) & (mark.bitwiseAND(F.col("_marks")) != 0), "left_semi")
+    return maybe.join(keys, column, "left_semi")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -24,17 +24,43 @@ def test_against_brute_force_with_and_without_collisions(spark):
         got = sorted((tuple(r) for r in ed.deduplicate(docs, capacity, bits).collect()), key=str)
         assert got == brute(ROWS), (capacity, bits)
     assert ed.deduplicate(docs.limit(0)).count() == 0
-    kept = ed.keep_first(docs)
-    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
-    dropped = {i for i, _, _, k, _ in brute(ROWS) if not k and i is not None}
-    assert kept.columns == docs.columns and got == sorted(((i, t) for i, t in ROWS if i not in dropped), key=str)
+
+
+def stays(rows):
+    """The one row of each group that stays."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i, t))
+    return sorted(((min(g)[3], min(g)[4]) for g in ({r[:3]: r for r in g}.values() for g in groups.values())), key=str)
+
+
+def test_keep_first_with_shared_and_null_ids(spark):
+    # id 7 has a text of its own and one that another row wins; 8 is there twice
+    more = [(7000, "A B"), (7000, "c"), (1, "text 9       x"), (8000, "twice"), (8000, "twice"), (None, "lone"), (None, "lone"), (None, " A  B  ")]
+    for rows in (ROWS + more, [(i, f"t {i % 7}" + " " * (i % 3)) for i in range(40)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", ed.F.lit("clash")).withColumn("_id", ed.F.lit(1))
+        kept = ed.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == stays(rows)
+    assert ed.keep_first(docs.limit(0)).count() == 0
+
+
+def test_more_keys_than_are_broadcast(spark):
+    rows = spark.range(3000).select((ed.F.col("id") * 7919 % 4001).alias("key"), ed.F.col("id").cast("string").alias("text"))
+    for n in (1, 3, 500):
+        keys = spark.range(n).select((ed.F.col("id") * 2).alias("key"))
+        want = sorted(r.text for r in rows.join(keys, "key", "left_semi").collect())
+        assert sorted(r.text for r in ed.shared.among(rows, "key", keys, most=0).collect()) == want
+        assert sorted(r.text for r in ed.shared.among(rows, "key", keys).collect()) == want
 
 
 def test_directory_splits_to_the_fixed_point(spark):
-    keys = [(k * 0x9E3779B97F4A7C15 + 77) % 2**64 for k in range(3000)] + [5] * 90
+    keys = [(k * 0x9E3779B97F4A7C15 + 77) % 2**64 for k in range(3000)] + [(5 << 45) + k for k in range(90)]
     df = spark.createDataFrame([(k - 2**64 if k >= 2**63 else k,) for k in keys], "key long")
-    capacity, bits = 64, 8
-    got = {r.slot: (r.depth, r.bucket) for r in ed.directory(df, capacity, bits).collect()}
+    capacity = 64
+    counts, bits = ed.slot_counts(df, capacity)
+    assert bits > 50  # the ninety share their top bits, so the directory doubles far beyond the others' depth
+    got = {r.slot: (r.depth, r.bucket) for r in ed.directory(counts, bits, capacity).collect()}
     # split one bucket at a time
     buckets, whole = {}, [(0, 0, [k >> (64 - bits) for k in keys])]
     while whole:
@@ -47,13 +73,38 @@ def test_directory_splits_to_the_fixed_point(spark):
     assert got == buckets
 
 
-def test_index_files_hold_key_ranges(spark):
+def test_index_files_hold_key_ranges_and_chains(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    for key_bits in (64, 4):
+        _, index = ed.build_index(docs, ed.shared.Workspace(spark, "index-test"), capacity=10, key_bits=key_bits)
+        rows, spans = index.collect(), {}
+        for r in rows:
+            spans.setdefault((r.bucket, r.depth), {}).setdefault(r.key % 2**64, []).append(r.link)
+        assert max(map(len, spans.values())) <= 10
+        assert all(sorted(links) == list(range(len(links))) for keys in spans.values() for links in keys.values())
+        assert key_bits == 4 or len(spans) > 3
+        assert key_bits == 64 or max(len(links) for keys in spans.values() for links in keys.values()) > 1
+        # ranges of buckets do not overlap
+        ends = sorted((min(keys), max(keys)) for keys in spans.values())
+        assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_owners_are_dealt_once_by_bucket(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
-    _, index = ed.build_index(docs, ed.shared.Workspace(spark, "index-test"), capacity=10)
-    rows = index.collect()
-    spans = {}
-    for r in rows:
-        top = (r.key % 2**64) >> (64 - ed.DIRECTORY_BITS)
-        assert r.bucket <= top < r.bucket + (1 << (ed.DIRECTORY_BITS - r.depth))
-        spans.setdefault((r.bucket, r.depth), []).append(r.key)
-    assert len(spans) > 3 and max(map(len, spans.values())) <= 10
+    plans = []
+    save = ed.shared.Workspace.save
+
+    def seen(self, df, name, partition_by=None):
+        if name == "index":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name, partition_by)
+
+    ed.shared.Workspace.save = seen
+    try:
+        ed.build_index(docs, ed.shared.Workspace(spark, "index-plan"), capacity=10)
+    finally:
+        ed.shared.Workspace.save = save
+    (plan,) = plans
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    # above the deal there are aggregates, sorts and the chain's window, and no further exchange
+    assert "Exchange hash" not in plan[: plan.index("REPARTITION_BY_NUM")].rpartition("Exchange hash")[0]
