@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from runledger.llm import url_filter as uf
 
 URLS = [
@@ -27,10 +28,14 @@ def test_rules_and_parts(spark):
 
 
 def test_domains(spark):
-    hosts = ["a.b.example.com", "example.com", "com", "", "x.y.co.uk", "co.uk", "y.co.uk"]
-    df = spark.createDataFrame([(h,) for h in hosts], "h string")
-    got = [tuple(r) for r in df.select(uf.domain_of(df.h), uf.suffix_of(df.h)).collect()]
-    assert got == [("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", ""), ("y.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.co.uk", "co.uk")]
+    want = {
+        "a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "y.co.uk": ("y.co.uk", "co.uk"), "me:pw@a.b.com:80": ("b.com", "com"), "a.b.com.": ("b.com", "com"), "10.0.0.7:80": ("10.0.0.7", ""), "..": ("", ""), "a..com": (".com", "com"),
+    }
+    named = uf.with_domains(spark.createDataFrame([(h,) for h in want], "host string"))
+    assert {r.host: (r.domain, r.suffix) for r in named.collect()} == want
+    deep = uf.with_domains(spark.createDataFrame([("x.y.a.b.c.d",)], "host string"), ("b.c.d",)).first()
+    assert (deep.domain, deep.suffix) == ("a.b.c.d", "b.c.d")
 
 
 def brute(hosts):
@@ -59,16 +64,37 @@ def brute(hosts):
     domains = total(lambda v: v[0])
     d, _ = level(domains, {v[0]: s[v[1]] for v in hosts.values()})
     h, k = level({x: v[2:] for x, v in hosts.items()}, {x: d[v[0]] for x, v in hosts.items()})
-    return {x: (r, math.sqrt(r * (1 - r) / (hosts[x][3] + k + 1))) for x, r in h.items()}
+    return {x: (r, hosts[x][3] + k) for x, r in h.items()}
+
+
+def below(rate, weight, limit, steps=1_000_000):
+    """P(rate <= limit) by adding up the density over log odds."""
+    a, b = rate * weight, (1 - rate) * weight
+    top = math.log(limit / (1 - limit))
+    width = max(60, 60 / a)
+    z = top - width * (np.arange(steps) + 0.5) / steps
+    log_norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return float(np.exp(-a * np.logaddexp(0, -z) - b * np.logaddexp(0, z) + log_norm).sum() * width / steps)
+
+
+def test_beta_cdf(spark):
+    points = [(0.3, 4.0), (2.0, 2.0), (30.0, 70.0), (26.0, 74.0), (0.02, 0.98), (800.0, 3000.0), (5.5, 0.5), (400.0, 1000.0)]
+    df = spark.createDataFrame(points, "a double, b double")
+    for r in df.select("a", "b", uf.beta_cdf(df.a, df.b, 0.25).alias("p"), uf.beta_cdf(df.a, df.b, 0.7).alias("q")).collect():
+        for got, x in ((r.p, 0.25), (r.q, 0.7)):
+            assert abs(got - below(r.a / (r.a + r.b), r.a + r.b, x)) < 1e-6, (r, x)
+    big = spark.createDataFrame([(2.5e5, 7.5e5), (2.51e5, 7.49e5)], "a double, b double")
+    near = [r[0] for r in big.select(uf.beta_cdf(big.a, big.b, 0.25)).collect()]
+    assert abs(near[0] - 0.5) < 1e-3 and abs(near[1] - 0.5 * math.erfc(0.001 / math.sqrt(2 * 0.251 * 0.749 / 1e6))) < 1e-3
 
 
 def test_reputation_and_block(spark):
     counts = {"a.x.com": (9, 10), "b.x.com": (30, 40), "a.y.com": (1, 50), "y.com": (0, 3), "q.net": (0, 0), "r.net": (2, 5)}
     hosts = {h: (".".join(h.split(".")[-2:]), h.split(".")[-1], *c) for h, c in counts.items()}
     df = spark.createDataFrame([(h, *c) for h, c in counts.items()], "host string, bad long, n long")
-    got = {r.host: (r.rate, r.deviation) for r in uf.reputation(df).collect()}
+    got = {r.host: (r.rate, r.weight) for r in uf.reputation(df).collect()}
     want = brute(hosts)
-    assert all(abs(x - y) < 1e-12 for h in want for x, y in zip(got[h], want[h], strict=True))
+    assert all(abs(x - y) < 1e-9 for h in want for x, y in zip(got[h], want[h], strict=True))
     pages, bad, i = [], [], 0
     for h, (b, n) in counts.items():
         for j in range(max(n, 1)):
@@ -78,5 +104,22 @@ def test_reputation_and_block(spark):
             i += 1
     judged = uf.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad + bad[:3], "page_id long, bad int"))
     verdicts = {r.host: r.verdict for r in judged.collect()}
-    assert verdicts == {h: "block" if n and want[h][0] - uf.Z * want[h][1] > uf.LIMIT else "allow" for h, (b, n) in counts.items()}
+    assert verdicts == {h: "block" if below(*want[h], uf.LIMIT) < uf.RISK else "allow" for h in counts}
     assert verdicts["b.x.com"] == "block" and verdicts["a.y.com"] == "allow"
+
+
+def test_hosts_without_labels_follow_their_domain(spark):
+    """Only labels of other hosts of its domain speak about new.bad.com and new.good.com; very long urls and hosts are read whole."""
+    long_host = ".".join(["x" * 60] * 2000) + ".bad.com"
+    pages, bad, i = [], [], 0
+    for domain, share in (("bad.com", 95), ("good.com", 2), *((f"d{j}.com", 5 + j % 7) for j in range(30))):
+        for h in range(4):
+            for j in range(100):
+                pages.append((i, f"https://h{h}.{domain}:8080/p{j}?q"))
+                bad.append((i, int(j < share)))
+                i += 1
+    asked = {"new.bad.com": "block", "new.good.com": "allow", "user@new.bad.com.:99": "block", long_host: "block", "unheard.of": "allow"}
+    pages += [(i + n, f"https://{h}/{'y' * 500_000}") for n, h in enumerate(asked)]
+    got = {r.host: r.verdict for r in uf.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert {h: got[h] for h in asked} == asked
+    assert got["h1.bad.com:8080"] == "block" and got["h1.good.com:8080"] == "allow"
