@@ -97,12 +97,13 @@ def build_index(docs: DataFrame, work: shared.Workspace, capacity: int = BUCKET_
     rows = rows.union(texts.select("key", F.sha2("plain", 256), salt, F.lit(0), F.lit(None).cast(rows.schema["best"].dataType), "plain"))
     merged = [F.sum("n").alias("n"), F.max("best").alias("best")]
     collapsed = rows.groupBy("key", "text_sha256", "salt").agg(*merged, F.min("plain").alias("least"), F.max("plain").alias("most"))
+    collapsed = collapsed.withColumn("most", F.when(F.col("most") != F.col("least"), F.col("most")))  # one text is dealt once
 
     # the deal: every row goes to the owner of its bucket
     owners = max(1, slots.select("bucket").distinct().count())
     dealt = collapsed.withColumn("slot", slot(F.col("key"), bits)).join(shared.small(slots, BROADCAST_SLOTS), "slot").repartition(owners, "bucket")
     # what an owner does; neither step moves rows again
-    links = dealt.groupBy("bucket", "depth", "key", "text_sha256").agg(*merged, F.min("least").alias("least"), F.max("most").alias("most"))
+    links = dealt.groupBy("bucket", "depth", "key", "text_sha256").agg(*merged, F.min("least").alias("least"), F.max(F.greatest("least", "most")).alias("most"))
     same = F.when(F.col("least").eqNullSafe(F.col("most")), F.col("text_sha256")).otherwise(F.raise_error(F.lit("different bytes under one digest")))
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")) - 1
     index = links.select("bucket", "depth", "key", chain.alias("link"), same.alias("text_sha256"), (-F.col("best.low")).alias("keep_id"), F.col("best.code_points").alias("keep_points"), F.col("n").alias("group_size"))
