@@ -1,11 +1,14 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds spans in other forms.
 
-Patterns find the base spans. Between them, regions around digits, `@` and spelled-out `at` or `dot` are cut
+Patterns find the base spans. Between them, regions around digits, `@` and spelled-out `at` or `dot` (in any case) are cut
 into atoms (runs of digits, of letters, of white space, single signs). The random field scores whole segments
 of up to MOST_ATOMS atoms by features of the span (digits, groups, separators, checksums, borders) and by
-transitions of kinds; dynamic programming over bounded segments chooses boundaries and kinds jointly. Its
+transitions of kinds; dynamic programming over bounded segments chooses boundaries and kinds jointly. It goes through a
+region atom by atom with a window of MOST_ATOMS places, and gives out what all paths through the window agree on, so a
+region of any length takes little memory. Its
 weights are learned on the driver by maximum likelihood from a bounded sample: base spans of documents, rewritten into forms
-that the patterns miss, in their own surroundings, and regions without personal data.
+that the patterns miss, in their own surroundings, and regions without personal data. Documents are sampled by their ids,
+at a rate that is raised until enough of them have something to look at.
 
 Defined results: a null text counts as empty and has no spans; spans are in code points, end exclusive, sorted
 by start and then kind; base spans of different kinds may overlap, added ones overlap nothing; without any
@@ -30,9 +33,12 @@ from . import shared
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with personal data, at most in expectation, and regions, at most, from which the field learns.
 SAMPLE, REGIONS, EPOCHS = 600, 500, 4
-MOST_ATOMS = 22
+#: Atoms of a span; the longest form that rewriting makes of a name of three parts and a host of four has 29.
+MOST_ATOMS = 32
 #: Seeds closer than this many characters lie in one region.
 GAP = 3
+#: Atoms after which a decoder looks for what all its paths agree on.
+SETTLE = 512
 
 _LOCAL = "".join(map(chr, range(128)))
 _LOCAL = "".join(c for c in _LOCAL if c.isalnum() or c in "._%+-")
@@ -41,9 +47,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What a text needs for any span, and what starts a region.
-SEED = r"[0-9]+|@|[\[(](?:at|dot)[\])]|(?<= )dot(?= )"
-_SEED, _AT = re.compile(SEED), re.compile(r"@|[\[(](?:at|dot)[\])]|(?<= )dot(?= )")
+#: What a text needs for any span, and what starts a region; a bare `at` only where a `dot` follows the next word.
+SEED = r"(?i)[0-9]+|@|[\[(](?:at|dot)[\])]|(?<= )dot(?= )|(?<= )at(?= [^\s]{1,63} dot )"
+_SEED, _AT = re.compile(SEED), re.compile(r"(?i)@|[\[(](?:at|dot)[\])]|(?<= )dot(?= )|(?<= )at(?= [^\s]{1,63} dot )")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _WORD_CHAR = re.compile(r"[^\s,;:!?]")
 
@@ -104,30 +110,42 @@ def regions(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             free.append((low, a))
         low = max(low, b)
     for low, high in free:
-        runs: list[list[int]] = []
-        for m in _SEED.finditer(text, low, high):
-            if runs and m.start() - runs[-1][1] <= GAP and "\n" not in text[runs[-1][1] : m.start()]:
-                runs[-1][1] = m.end()
-            else:
-                runs.append([m.start(), m.end()])
-        last = low
-        for n, (a, b) in enumerate(runs):
-            spelled = bool(_AT.search(text, a, b))
-            if not spelled and sum("0" <= c <= "9" for c in text[a:b]) < 4:
-                continue
-            limit = runs[n + 1][0] if n + 1 < len(runs) else high
+        found, region = _runs(text, low, high), None
+        run = next(found, None)
+        while run:
+            (a, b, spelled), run = run, next(found, None)
             skips = 1 if spelled else 0  # spelled-out forms have a space between seed and word
-            a, b = _extended(text, a, last, -1, skips), _extended(text, b, limit, 1, skips)
-            yield a, b
-            last = b
+            a = _extended(text, a, region[1] if region else low, -1, skips)
+            b = _extended(text, b, run[0] if run else high, 1, skips)
+            if region and a <= region[1]:
+                region[1] = b
+                continue
+            if region:
+                yield region[0], region[1]
+            region = [a, b]
+        if region:
+            yield region[0], region[1]
+
+
+def _runs(text: str, low: int, high: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, spelled) of seeds that lie close together and could be a span: with an `at` or `dot`, or 4 digits."""
+    run = None
+    for m in _SEED.finditer(text, low, high):
+        spelled, digits = not "0" <= m[0][0] <= "9", m.end() - m.start()
+        if run and m.start() - run[1] <= GAP and "\n" not in text[run[1] : m.start()]:
+            run = [run[0], m.end(), run[2] or spelled, run[3] + (0 if spelled else digits)]
+            continue
+        if run and (run[2] or run[3] >= 4):
+            yield run[0], run[1], run[2]
+        run = [m.start(), m.end(), spelled, 0 if spelled else digits]
+    if run and (run[2] or run[3] >= 4):
+        yield run[0], run[1], run[2]
 
 
 def _extended(text: str, at: int, limit: int, step: int, skips: int) -> int:
-    """Moves over the word beside a place, after at most `skips` spaces; no further than 64 characters."""
+    """Moves over the word beside a place, after at most `skips` spaces, up to the limit."""
     begun = False
-    for _ in range(64):
-        if at == limit:
-            break
+    while at != limit:
         c = text[at - 1] if step < 0 else text[at]
         if _WORD_CHAR.match(c):
             begun = True
@@ -141,7 +159,7 @@ def _extended(text: str, at: int, limit: int, step: int, skips: int) -> int:
 
 @dataclass
 class Lattice:
-    """A region's atoms and the segments that may be entities, with their features."""
+    """A short region's atoms and the segments that may be entities, with their features, to learn from."""
 
     atoms: list[tuple[int, int]]
     spans: list[tuple[int, int]] = field(default_factory=list)
@@ -158,49 +176,76 @@ def _bucket(n: int, edges: tuple[int, ...]) -> int:
 
 
 def span_features(text: str, a: int, b: int, n_atoms: int) -> list[str]:
-    s = text[a:b]
-    digits = _digits(s)
+    return shape_features(text[a - 1 : a], text[a:b], text[b : b + 1], n_atoms) + value_features(text[a:b])
+
+
+def shape_features(left: str, s: str, right: str, n_atoms: int) -> list[str]:
+    """What does not depend on which digits stand in the span."""
     groups = re.findall("[0-9]+", s)
+    n_digits = sum(map(len, groups))
     letters = sum(c.isalpha() for c in s)
     between = sorted({_kind_of_char(c) for x in re.findall("(?<=[0-9])[^0-9]+(?=[0-9])", s) for c in x})
-    out = ["bias", f"digits={_bucket(len(digits), (1, 4, 7, 10, 11, 12, 13, 14, 16, 17, 20))}", f"letters={_bucket(letters, (1, 3, 6, 12, 25))}", f"between={''.join(between)}"]
+    out = ["bias", f"digits={_bucket(n_digits, (1, 4, 7, 10, 11, 12, 13, 14, 16, 17, 20))}", f"letters={_bucket(letters, (1, 3, 6, 12, 25))}", f"between={''.join(between)}"]
     out.append(f"groups={'-'.join(str(len(g)) for g in groups) if len(groups) <= 5 else 'many'}" if letters == 0 else f"groups={_bucket(len(groups), (1, 2, 3, 5))}+")
-    out += [f"left={_kind_of_char(text[a - 1 : a])}", f"right={_kind_of_char(text[b : b + 1])}", f"first={_kind_of_char(s[:1])}", f"last={_kind_of_char(s[-1:])}", f"atoms={_bucket(n_atoms, (2, 4, 7, 10, 14, 18))}"]
-    if 13 <= len(digits) <= 19 and not letters:
-        out.append(f"luhn={luhn(digits)}")
-    if len(groups) == 4 and not letters:
-        out.append(f"bytes={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
+    out += [f"left={_kind_of_char(left)}", f"right={_kind_of_char(right)}", f"first={_kind_of_char(s[:1])}", f"last={_kind_of_char(s[-1:])}", f"atoms={_bucket(n_atoms, (2, 4, 7, 10, 14, 18, 24))}"]
     if letters:
-        marks = len(re.findall(r"@|[\[(]at[\])]", s)), len(re.findall(r"\.|[\[(]dot[\])]|(?<= )dot(?= )", s))
+        low = s.lower()
+        marks = len(re.findall(r"@|[\[(]at[\])]|(?<= )at(?= )", low)), len(re.findall(r"\.|[\[(]dot[\])]|(?<= )dot(?= )", low))
         tail = re.search(r"[A-Za-z]+$", s)
         out += [f"at={min(marks[0], 2)},dot={min(marks[1], 2)}", f"tail={_bucket(len(tail[0]), (2, 5, 8)) if tail else '-'}", f"spaces={min(s.count(' '), 6)},at={min(marks[0], 2)}"]
     return out
 
 
+def value_features(s: str) -> list[str]:
+    """Checks of the digits themselves, in spans without letters."""
+    if any(map(str.isalpha, s)):
+        return []
+    groups = re.findall("[0-9]+", s)
+    out = [f"luhn={luhn(''.join(groups))}"] if 13 <= sum(map(len, groups)) <= 19 else []
+    if len(groups) == 4:
+        out.append(f"bytes={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
+    return out
+
+
+def outside_features(text: str, x: int, y: int) -> list[str]:
+    c = text[x]
+    return ["out", f"out={_kind_of_char(c)}", f"out_digits={_bucket(y - x, (1, 4, 7, 10, 14)) if c.isdigit() else 0}"]
+
+
+def starts(text: str, window: list[tuple[int, int]]) -> list[int]:
+    """Places in a window of atoms at which a span that ends with its last atom may start."""
+    out: list[int] = []
+    if not text[window[-1][1] - 1].isalnum():
+        return out
+    digits = seeds = 0
+    for k in range(len(window) - 1, max(-1, len(window) - 1 - MOST_ATOMS), -1):
+        u, v = window[k]
+        c = text[u]
+        if c == "\n":
+            break
+        digits += v - u if "0" <= c <= "9" else 0
+        seeds += c == "@" or v - u <= 3 and text[u:v].lower() in ("at", "dot")
+        if (digits >= 4 or seeds) and (c.isalnum() or c in "+("):
+            out.append(k)
+    return out
+
+
 def lattice(text: str, a: int, b: int) -> Lattice:
     out = Lattice([m.span() for m in _ATOM.finditer(text, a, b)])
-    n = len(out.atoms)
-    for i, (x, y) in enumerate(out.atoms):
-        c = text[x]
-        out.outside.append(["out", f"out={_kind_of_char(c)}", f"out_digits={_bucket(y - x, (1, 4, 7, 10, 14)) if c.isdigit() else 0}"])
-        if not (c.isalnum() or c in "+("):
-            continue
-        digits = seeds = 0
-        for j in range(i, min(n, i + MOST_ATOMS)):
-            u, v = out.atoms[j]
-            digits += v - u if "0" <= text[u] <= "9" else 0
-            seeds += text[u:v] in ("@", "at", "dot")
-            if text[u] == "\n":
-                break
-            if text[v - 1].isalnum() and (digits >= 4 or seeds):
-                out.spans.append((i, j + 1))
-                out.features.append(span_features(text, x, v, j + 1 - i))
+    for j, (x, y) in enumerate(out.atoms):
+        out.outside.append(outside_features(text, x, y))
+        for i in starts(text, out.atoms[: j + 1]):
+            out.spans.append((i, j + 1))
+            out.features.append(span_features(text, out.atoms[i][0], y, j + 1 - i))
     return out
 
 
 # --- the random field ------------------------------------------------------------------------------------------
 
 _N = len(KINDS) + 1  # label 0 is outside
+#: Shapes of spans whose scores a task keeps.
+SHAPES = 50_000
+_NINES = str.maketrans("012345678", "9" * 9)
 
 
 @dataclass
@@ -210,15 +255,25 @@ class Field:
     index: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
+    known: dict = field(default_factory=dict)
 
-    def scores(self, of: Lattice) -> tuple[np.ndarray, np.ndarray]:
-        """(spans x kinds, atoms): scores of entities and of atoms outside."""
+    def total(self, names: list[str]) -> np.ndarray:
+        return self.weights[[i for n in names if (i := self.index.get(n)) is not None]].sum(axis=0)
 
-        def total(names: list[str]) -> np.ndarray:
-            return self.weights[[i for n in names if (i := self.index.get(n)) is not None]].sum(axis=0)
+    def of_span(self, text: str, a: int, b: int, n_atoms: int) -> np.ndarray:
+        """The score of a span by label; what its shape gives is worked out once for each shape."""
+        shape = text[a - 1 : a], text[a:b].translate(_NINES), text[b : b + 1], n_atoms
+        if (score := self.known.get(shape)) is None:
+            if len(self.known) >= SHAPES:
+                self.known.clear()
+            score = self.known[shape] = self.total(shape_features(*shape))
+        checks = value_features(text[a:b])
+        return score + self.total(checks) if checks else score
 
-        inside = np.array([total(f)[1:] for f in of.features]).reshape(len(of.spans), _N - 1)
-        return inside, np.array([total(f)[0] for f in of.outside])
+    def scores(self, of: Lattice) -> tuple[np.ndarray, np.ndarray]:
+        """(spans x kinds, atoms): scores of entities and of atoms outside."""
+        inside = np.array([self.total(f)[1:] for f in of.features]).reshape(len(of.spans), _N - 1)
+        return inside, np.array([self.total(f)[0] for f in of.outside])
 
     def arcs(self, of: Lattice) -> tuple[list[list[tuple[int, np.ndarray]]], np.ndarray]:
         """For each end place its arcs (start place, scores by label); labels that an arc cannot have score -inf."""
@@ -230,27 +285,60 @@ class Field:
             out[i + 1].append((i, np.array([s] + [-np.inf] * (_N - 1))))
         return out, inside
 
-    def decode(self, of: Lattice) -> list[tuple[int, int, int]]:
-        """(first atom, end atom, label) of the entities of the best segmentation."""
-        arcs, _ = self.arcs(of)
-        n = len(of.atoms)
-        best = np.full((n + 1, _N), -np.inf)
-        best[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, n + 1):
-            for i, s in arcs[j]:
-                step = best[i][:, None] + self.moves + s[None, :]
-                top = step.argmax(axis=0)
-                for y in np.flatnonzero(step[top, np.arange(_N)] > best[j]):
-                    best[j, y] = step[top[y], y]
-                    back[j, y] = i, int(top[y])
-        out, j, y = [], n, int(best[n].argmax())
-        while j:
-            i, before = back[j, y]
-            if y:
-                out.append((i, j, y))
-            j, y = i, before
-        return out[::-1]
+    def decode(self, text: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, label) of the entities of the best segmentation of a region.
+
+        Kept are the last MOST_ATOMS places, as arcs reach no further back, and the atoms and back pointers since
+        the place that all paths of the window come from; what lies before that is given out.
+        """
+        atoms: list[tuple[int, int]] = []  # since the settled place
+        best = [np.where(np.arange(_N) == 0, 0.0, -np.inf)]
+        back: list[list[tuple[int, int] | None]] = [[None] * _N]  # by place and label: atoms of the last segment, label before it
+        outside: dict[tuple, float] = {}
+        tried = 0
+
+        def path(j: int, y: int) -> list[tuple[int, int, int]]:
+            out = []
+            while j:
+                n, before = back[j][y]
+                if y:
+                    out.append((atoms[j - n][0], atoms[j - 1][1], y))
+                j, y = j - n, before
+            return out[::-1]
+
+        for m in _ATOM.finditer(text, a, b):
+            x, y = m.span()
+            atoms.append((x, y))
+            key = tuple(outside_features(text, x, y))
+            if key not in outside:
+                outside[key] = float(self.total(list(key))[0])
+            j = len(atoms)
+            low = max(0, j - MOST_ATOMS)
+            spans = [low + k for k in starts(text, atoms[low:j])]
+            froms = [j - 1, *spans]
+            s = np.full((len(froms), _N), -np.inf)
+            s[0, 0] = outside[key]
+            for row, i in enumerate(spans, 1):
+                s[row, 1:] = self.of_span(text, atoms[i][0], y, j - i)[1:]
+            step = (np.array([best[i] for i in froms])[:, :, None] + self.moves[None] + s[:, None, :]).reshape(-1, _N)
+            top = step.argmax(axis=0)
+            best.append(step[top, np.arange(_N)])
+            back.append([(j - froms[t // _N], t % _N) if np.isfinite(v) else None for t, v in zip(top.tolist(), best[-1], strict=True)])
+            if j - tried >= SETTLE:
+                tried = j
+                alive = {(p, y) for p in range(max(0, j - MOST_ATOMS + 1), j + 1) for y in range(_N) if np.isfinite(best[p][y])}
+                while len(alive) > 1:
+                    p, y = max(alive)
+                    alive.remove((p, y))
+                    n, y = back[p][y]
+                    alive.add((p - n, y))
+                ((p, y),) = alive
+                if p:
+                    yield from path(p, y)
+                    del atoms[:p], best[:p], back[:p]
+                    back[0], tried = [None] * _N, j - p
+                    best[0] = np.where(np.arange(_N) == y, best[0], -np.inf)
+        yield from path(len(atoms), int(best[-1].argmax()))
 
     def learn(self, of: Lattice, gold: list[tuple[int, int, int]], rate: float) -> float:
         """One step up the log-likelihood of a segmentation; returns that likelihood before the step."""
@@ -316,8 +404,9 @@ def rewritten(kind: str, s: str, rng: random.Random) -> str:
     groups = re.findall("[0-9]+", s)
     if kind == "email":
         local, _, domain = s.partition("@")
-        at, dot = rng.choice([("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" (at) ", " (dot) "), (" @ ", "."), ("[at]", " dot ")])
-        return local + at + domain.replace(".", dot)
+        at, dot = rng.choice([("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" (at) ", " (dot) "), (" @ ", "."), ("[at]", " dot "), (" at ", " dot ")])
+        made = local + at + domain.replace(".", dot)
+        return made.upper() if rng.random() < 0.2 else made
     if kind == "ip":
         return rng.choice([" . ", "[.]", "-", "(.)"]).join(groups)
     if kind == "card":
@@ -375,9 +464,7 @@ def all_spans(text: str, model: Field | None) -> list[tuple[str, int, int, bool]
     out = [(*s, True) for s in base]
     if model is not None:
         for a, b in regions(text, base):
-            of = lattice(text, a, b)
-            if of.spans:
-                out += [(KINDS[y - 1], of.atoms[i][0], of.atoms[j - 1][1], False) for i, j, y in model.decode(of)]
+            out += [(KINDS[y - 1], x, z, False) for x, z, y in model.decode(text, a, b)]
     return sorted(out, key=_order)
 
 
@@ -398,15 +485,23 @@ def spans(text: Column, model: Field | None) -> Column:
 
 
 def fit(docs: DataFrame, size: int = SAMPLE) -> Field | None:
-    """Learns from a bounded sample of texts with seeds."""
+    """Learns from a sample of texts with seeds, of some `size` to 8 * `size` documents where there are as many.
+
+    Only sampled texts are searched. The rate starts at 4 * size of all documents and is raised while fewer than half
+    of `size` have seeds.
+    """
     shared.small_batches(docs.sparkSession)
-    seeded = docs.where(may_hold(F.col("text"))).select("doc_id", "text", F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(1_000_000)).alias("spread"))
-    total = seeded.count()
-    chosen = seeded.where(F.col("spread") * max(total, 1) < size * 1_000_000).select("spread", "doc_id", spans(F.col("text"), None).alias("s"), "text")
-    # windows around seeds only, so long texts do not reach the driver whole
-    windows = chosen.select("spread", "doc_id", F.explode(_windows(F.col("text"))).alias("w")).select("spread", "doc_id", "w").distinct()
-    rows = [r.w for r in windows.orderBy("spread", "doc_id", "w").limit(4 * size).collect()]
-    return learn([(w, base_spans(w)) for w in rows])
+    spread = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30))
+    rate = min(1.0, 4 * size / max(docs.count(), 1))
+    while True:
+        chosen = docs.select("doc_id", "text", spread.alias("spread")).where(F.col("spread") < int(rate * (1 << 30))).where(may_hold(F.col("text")))
+        # windows around seeds only, so long texts do not reach the driver whole
+        windows = chosen.select("spread", "doc_id", F.explode(F.array_distinct(_windows(F.col("text")))).alias("w")).orderBy("spread", "doc_id", "w").limit(4 * size)
+        rows = windows.collect()
+        if rate == 1 or len({r.doc_id for r in rows}) * 2 >= size or len(rows) == 4 * size:
+            texts = dict.fromkeys(r.w for r in rows)  # copies teach once
+            return learn([(w, base_spans(w)) for w in texts])
+        rate = min(1.0, 8 * rate)
 
 
 def _windows(text: Column) -> Column:
@@ -431,4 +526,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [counted(k) for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))

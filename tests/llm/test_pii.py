@@ -65,7 +65,7 @@ def test_dynamic_programming_equals_listing():
         model = pii.Field(index, rng.normal(size=(len(index), 5)), rng.normal(size=(5, 5)))
         listed = brute_best(model, of)
         best = max(listed, key=lambda p: p[0])
-        assert model.decode(of) == best[1]
+        assert list(model.decode(text, 0, len(text))) == [(of.atoms[i][0], of.atoms[j - 1][1], y) for i, j, y in best[1]]
         z = np.log(sum(np.exp(s) for s, _ in listed))
         gold = listed[len(listed) // 2]
         weights = model.weights.copy(), model.moves.copy()
@@ -83,6 +83,81 @@ def test_dynamic_programming_equals_listing():
         assert abs(moved.sum()) < 50
 
 
+def whole(model, text):
+    """The best segmentation with all places and pointers kept."""
+    of = pii.lattice(text, 0, len(text))
+    arcs, _ = model.arcs(of)
+    best, back = [{0: 0.0}], {}
+    for j in range(1, len(of.atoms) + 1):
+        now = {}
+        for i, s in arcs[j]:
+            for y in range(5):
+                for x, v in best[i].items():
+                    value = v + model.moves[x, y] + s[y]
+                    if np.isfinite(value) and value > now.get(y, -np.inf):
+                        now[y], back[j, y] = value, (i, x)
+        best.append(now)
+    out, j, y = [], len(of.atoms), max(best[-1], key=best[-1].get)
+    while j:
+        i, x = back[j, y]
+        if y:
+            out.append((of.atoms[i][0], of.atoms[j - 1][1], y))
+        j, y = i, x
+    return out[::-1]
+
+
+def random_field(rng, texts):
+    names = sorted({f for t in texts for of in [pii.lattice(t, 0, len(t))] for fs in (*of.features, *of.outside) for f in fs})
+    return pii.Field({f: i for i, f in enumerate(names)}, rng.normal(size=(len(names), 5)), rng.normal(size=(5, 5)))
+
+
+def test_streaming_equals_keeping_all(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["1234", "56", " ", "-", ".", "a@b", "+1", " dot ", " at ", "x"]) for _ in range(90)) for _ in range(12)]
+    model = random_field(np.random.default_rng(8), texts)
+    for settle in (1, 7, 512):
+        monkeypatch.setattr(pii, "SETTLE", settle)
+        for t in texts:
+            model.known.clear()
+            assert list(model.decode(t, 0, len(t))) == whole(model, t)
+
+
+def test_memory_of_a_long_run_of_numbers():
+    """60,000 numbers in one region: decoding keeps a window, not the region."""
+    import tracemalloc
+
+    text = "1234 5678 91 " * 20_000
+    model = random_field(np.random.default_rng(9), [text[:400]])
+    assert list(pii.regions(text, [])) == [(0, len(text) - 1)]
+    tracemalloc.start()
+    n = sum(1 for _ in model.decode(text, 0, len(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 8_000_000, peak
+
+
+def test_regions_and_words_of_any_length():
+    for text in ("john at example dot com", "JOHN [AT] EXAMPLE [DOT] COM", "a.b.c (at) mail5 (dot) example (dot) co (dot) uk", "x" * 500 + "[at]" + "y" * 500 + "[dot]com"):
+        found = list(pii.regions(f"say {text} now", []))
+        assert found == [(4, 4 + len(text))], (text, found)
+    assert list(pii.regions("we met at noon and at ten 123", [])) == []
+    long = "ab" * 100_000 + "1234" * 1 + ("x1234" * 20_000)
+    assert list(pii.regions(long, [])) == [(0, len(long))]
+
+
+def test_added_spans_in_other_forms(spark):
+    """Forms and names longer than those of the table, unseen in training."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = random.Random(12)
+    hit = 0
+    for i in range(60):
+        name = "".join(rng.choice("abcdefgh") for _ in range(6)) + f".{rng.randrange(10, 99)}"
+        form = [f"{name} [at] mail{i % 9}.example.com", f"{name} at mail{i % 9} dot example dot com", f"{name.upper()} (AT) MAIL{i % 9} (DOT) EXAMPLE (DOT) COM"][i % 3]
+        text = f"lorem ipsum {form} dolor sit"
+        hit += ("email", 12, 12 + len(form)) in {s[:3] for s in pii.all_spans(text, model)}
+    assert hit >= 50, hit
+
+
 def test_whole_table_and_added_spans(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in queries.queries()["op6_pii"](spark, FOLDER).collect()}
@@ -107,8 +182,7 @@ def test_held_out_rewrites(spark):
     found = pii.examples(rows, random.Random(11), 300)
     hit = wrong = total = 0
     for text, a, b, gold in found:
-        of = pii.lattice(text, a, b)
-        got = {(pii.KINDS[y - 1], of.atoms[i][0], of.atoms[j - 1][1]) for i, j, y in model.decode(of)}
+        got = {(pii.KINDS[y - 1], x, z) for x, z, y in model.decode(text, a, b)}
         hit, wrong, total = hit + len(got & set(gold)), wrong + len(got - set(gold)), total + len(gold)
     assert total > 50 and hit >= 0.8 * total and wrong <= 0.2 * total, (hit, wrong, total)
 
