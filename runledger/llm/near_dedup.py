@@ -42,8 +42,6 @@ BANDS, ROWS = 32, 5
 #: Values of the verification signature, how many are compared at a time, and the chosen miss probability.
 CHECKED, BATCH, MISS = 64, 16, 1e-9
 THRESHOLD = 80
-#: Ids that are broadcast to pick the texts to verify (16 bytes each), up to this count.
-BROADCAST_IDS = 1_000_000
 #: A shingle outside the leader's set that at most this many classes of a leader hold lists their pairs.
 RARE = 8
 #: Distinct words whose hashes a task keeps.
@@ -167,13 +165,18 @@ def survivors(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFr
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b); pairs of one a follow each other within a task."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    """(a, b, text_a, text_b); pairs of one a follow each other within a task. The pairs of an a that has more than
+    shared.HOT of them are spread over salts, and its text is repeated for each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = shared.among(docs.select("doc_id", "text"), "doc_id", ids)
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > shared.HOT).select("a", F.lit(True).alias("hot"))
+    hot = shared.small(hot, shared.BROADCAST_KEYS)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(shared.SALTS))).otherwise(F.lit(0).cast("long"))
+    salted = pairs.join(hot, "a", "left").select("a", "b", salt.alias("salt"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(shared.SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    text_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left").select("a", "text_a", F.explode(salts).alias("salt"))
     text_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    return salted.join(text_b, "b").join(text_a, ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
 
 def _sets(rows: pd.DataFrame, shingler: Shingler, last: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,7 +223,7 @@ def second_leaders(profile: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b): for each leader the class with the largest share of known shingles, and those apart from it."""
     best = F.max_by(F.struct("id", "n", "component"), F.struct(F.col("inside") / F.col("n"), -F.col("id")))
     leaders = profile.groupBy("lo").agg(best.alias("best")).select("lo", F.col("best.id").alias("a"), F.col("best.n").alias("n_a"), F.col("best.component").alias("c_a"))
-    both = profile.join(leaders, "lo").where((F.col("component") != F.col("c_a")) & similar_sizes("n", "n_a", threshold))
+    both = profile.join(shared.small(leaders, shared.BROADCAST_KEYS), "lo").where((F.col("component") != F.col("c_a")) & similar_sizes("n", "n_a", threshold))
     return both.select("a", F.col("id").alias("b"))
 
 
@@ -243,9 +246,9 @@ def narrowed(profile: DataFrame, rare: DataFrame, threshold: int) -> DataFrame:
     # what holds for both sides of such a pair: enough shingles inside, also for the smallest partner there is
     able = profile.where(F.col("inside") * 100 >= F.col("n") * threshold)
     smallest = able.groupBy("lo").agg(F.min("n").alias("least_n"))
-    able = able.join(smallest, "lo").where(F.col("inside") * (100 + threshold) >= (F.col("n") + F.col("least_n")) * threshold)
+    able = able.join(shared.small(smallest, shared.BROADCAST_KEYS), "lo").where(F.col("inside") * (100 + threshold) >= (F.col("n") + F.col("least_n")) * threshold)
     several = able.groupBy("lo").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("lo")
-    a, b = sides(able.join(several, "lo", "left_semi"))
+    a, b = sides(able.join(shared.small(several, shared.BROADCAST_KEYS), "lo", "left_semi"))
     by_bound = a.join(b, "lo").where(apart & (F.least("in_a", "in_b") * (100 + threshold) >= need)).select("a", "b")
     return by_rare.union(by_bound).distinct()
 
@@ -263,8 +266,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     signatures = of_class.select("id", "signature")
 
     rows = of_class.select(F.explode("bands").alias("key"), "id", "n_shingles")
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("n_shingles", "id").alias("n_lo"), F.min("id").alias("lo")).where("n > 1").drop("n")
-    members = work.save(rows.join(crowded, "key"), "members")
+    crowded = work.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("n_shingles", "id").alias("n_lo"), F.min("id").alias("lo")).where("n > 1"), "crowded")
+    members = work.save(shared.join_counted(rows, crowded, ["key"]), "members")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         left = work.save(survivors(pairs.distinct(), signatures, threshold), f"{name}-survivors")
@@ -280,11 +283,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     # leaders with classes under one key that are still apart
     of_key = work.save(labelled(members.where("id != lo").select("key", "lo", "id", F.col("n_shingles").alias("n")), groups), "labelled")
     mixed = of_key.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    apart = work.save(of_key.join(mixed, "key", "left_semi").select("lo", "id", "n").distinct(), "apart")
+    apart = work.save(of_key.join(shared.small(mixed, shared.BROADCAST_KEYS), "key", "left_semi").select("lo", "id", "n").distinct(), "apart")
     outside = work.save(outside_leader(apart, docs, words), "outside")
     each = outside.select("lo", "id", F.explode("others").alias("shingle"))
-    held = each.groupBy("lo", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = work.save(each.join(held, ["lo", "shingle"]), "held")
+    holders = each.groupBy("lo", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    holders = work.save(holders.withColumn("holders", F.col("n")), "holders")
+    held = work.save(shared.join_counted(each, holders, ["lo", "shingle"]), "held")
     known = held.groupBy("lo", "id").agg(F.count_if(F.col("holders") > RARE).alias("frequent"), F.count_if(F.col("holders") <= RARE).alias("n_rare"))
     profile = apart.join(outside.drop("others"), ["lo", "id"]).join(known, ["lo", "id"], "left").fillna(0, ["frequent", "n_rare"])
     profile = work.save(profile.withColumn("inside", F.col("common") + F.col("frequent")).drop("common", "frequent"), "profile")
@@ -293,11 +297,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     groups = work.save(components(links, work, "second-components", groups), "second-groups")
     rest = narrowed(labelled(profile, groups), held.where(F.col("holders") <= RARE).drop("holders"), threshold)
     groups = work.save(components(links_of(rest, "rest"), work, "components", groups), "groups")
-    work.drop("members", "labelled", "apart", "outside", "held", "profile", "class-sketches", "star-survivors", "second-survivors", "rest-survivors")
-
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(groups, "id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = shared.Workspace(spark, "near-duplicates").save(found, "result")
+    work.drop()
+    return result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +310,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates; rows of a null doc_id all stay."""
-    dropped = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each group of near-duplicates, all its texts included; rows that repeat an id and its
+    text leave one. No decision names rows of a null doc_id: of these, one stays for each text."""
+    found = near_duplicates(docs)
+    dropped = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    whole = docs.select(F.struct("*").alias("d"))
+    kept = whole.join(dropped, F.col("d.doc_id") == F.col("_id"), "left_anti")
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    if several.isEmpty():
+        return kept.select("d.*")
+    own = F.col("d.doc_id").eqNullSafe(F.col("_id"))
+    once = kept.join(several, own, "left_semi").select("d", F.col("d.doc_id").alias("i"), F.col("d.text").alias("t")).dropDuplicates(["i", "t"])
+    return kept.join(several, own, "left_anti").union(once.select("d")).select("d.*")
 
 
 SQL = r"""

@@ -15,6 +15,8 @@ from ..lineage import shared_dir
 ARROW_ROWS = 512
 #: Keys or ids that are broadcast to filter rows (16 bytes each, so 16 MB); the words of the bitmap that filters for more (16 MB in bits).
 BROADCAST_KEYS, FILTER_WORDS = 1_000_000, 1 << 21
+#: A key of more rows than this is not shuffled by itself; the salts that its rows are spread over where it must be.
+HOT, SALTS = 2_048, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,22 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """rows joined with keys (one row per key, with the number of its rows in a column that is dropped).
+
+    Keys of more than HOT rows are broadcast, so that none of them fills one task of the shuffle that joins the others;
+    there can be no more of them than rows / HOT. Beyond BROADCAST_KEYS of them one shuffle joins all, and
+    adaptive execution splits the skewed partitions.
+    """
+    hot = keys.where(F.col(count) > HOT)
+    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
+    if n_hot == 0 or n_hot > BROADCAST_KEYS:
+        return rows.join(keys.drop(count), on)
+    hot = F.broadcast(hot.drop(count))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(count) <= HOT).drop(count), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def among(df: DataFrame, column: str, keys: DataFrame, most: int | None = None) -> DataFrame:
     """The rows of df whose column is in keys (one column of that name, distinct).
 

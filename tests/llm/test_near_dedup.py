@@ -92,6 +92,30 @@ def test_repeats_and_null_ids(spark):
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (None, 2, None, True), (2, 1, 2, True)], key=str)
 
 
+def test_keep_one_with_shared_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other text of one"), (2, "A b c d e f"), (None, "q r s"), (None, "q r s"), (None, "z"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", nd.F.lit(0)).withColumn("d", nd.F.lit(0))
+    kept = nd.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_hot_leaders_keys_and_shingles_are_split(spark, monkeypatch):
+    """With a low mark of what is hot, broadcasts, salts and bitmaps take over; the result is the same."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.choice([2, 5, 8])):
+            t[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nd.shared, "HOT", 4)
+    monkeypatch.setattr(nd.shared, "BROADCAST_KEYS", 60)
+    assert {r[0]: tuple(r)[1:] for r in nd.near_duplicates(docs, 4).collect()} == brute(rows, 4)
+
+
 def test_pruning_bounds_follow_the_posterior():
     for m, k in nd.least_matches(0.8):
         grid = [(j + 0.5) / 20000 for j in range(20000)]
