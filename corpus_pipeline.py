@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared.Workspace(spark, "pipeline")
-    docs = shared.table(spark, sf_dir, "documents")
+    docs, before = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with shared.temporary():  # a stage's own tables go once its result is written
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
