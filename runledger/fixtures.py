@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = {
-    "wf_events": "events", "wf_saga": "events", "wf_edges": "part", "wf_runs": "orders", "wf_deliveries": "lineitem", "wf_schedules": "part",
+    "wf_events": "events", "wf_saga": "events", "wf_edges": "part", "wf_runs": "orders", "wf_deliveries": "lineitem", "wf_arrivals": "lineitem", "wf_schedules": "part",
+    "wf_steps": "part", "wf_deps": "part",
 }
 
 TEMPLATES = {
@@ -21,7 +22,10 @@ select 'u' || cast(user_id as string) as run_id,
        else case when k % 4 = 3 then 'APPROVAL_RESOLVED' else 'SIGNAL_RESOLVED' end end as event_type,
   'step-' || cast(k % 8 as string) as step_id, 'sig-' || cast(k % 3 as string) as name,
   case when k % 2 = 0 then ms + k * 60000 end as deadline,
-  case when k % 5 = 0 then null else props end as body, ms as ts
+  case when k % 5 = 0 then null
+       when event_type not in ('signup', 'view', 'click', 'error') and k % 4 = 3
+         then '{"k":' || cast(k as string) || ',"approved":' || case when k % 8 = 3 then 'true' else 'false' end || ',"feedback":"f' || cast(k % 3 as string) || '"}'
+       else props end as body, ms as ts
 from (select e.*, {K} as k, {MS:ts} as ms from events e) x""",
     "wf_saga": """
 select 'u' || cast(user_id as string) as run_id,
@@ -49,9 +53,27 @@ select case when l_orderkey % 11 = 0 then 'missing-' else 'o' end || cast(l_orde
   's' || cast(l_linenumber as string) as signal_id, 'sig-' || cast(l_linenumber % 3 as string) as name,
   l_linenumber = 1 and l_orderkey % 5 = 0 as already_delivered
 from (select distinct l_orderkey, l_linenumber from lineitem) x""",
+    "wf_arrivals": """
+select case when l_orderkey % 11 = 0 then 'missing-' else 'o' end || cast(l_orderkey as string) as run_id,
+  's' || cast(l_linenumber as string) as signal_id, case when l_linenumber = 4 then '__timer' else 'sig-' || cast(l_linenumber % 3 as string) end as name,
+  cast(again * 10 + (l_linenumber * 5 + l_orderkey) % 7 as bigint) as arrival, l_linenumber = 1 and l_orderkey % 5 = 0 as already_delivered
+from (select distinct l_orderkey, l_linenumber from lineitem) x cross join (select 0 as again union all select 1) y where again = 0 or l_linenumber % 3 <> 2""",
     "wf_schedules": """
 select 's' || cast(p_partkey as string) as schedule_id, 'wf-' || cast(p_partkey % 5 as string) as workflow_id,
-  cast(p_size as bigint) * 60000 as every_ms, p_partkey % 7 <> 0 as enabled from part where p_size > 0""",
+  case when p_partkey % 2 = 0 then cast(p_size as bigint) * 60000 * (case when p_partkey % 46 = 0 then -1 else 1 end) end as every_ms,
+  case when p_partkey % 2 = 1 then case p_partkey % 5
+    when 0 then cast(p_partkey % 6 * 10 as string) || ' * * * *'
+    when 1 then '*/15 9-17 * * 1-5'
+    when 2 then cast(p_partkey % 6 * 10 as string) || ' ' || cast(p_partkey % 4 * 5 as string) || ' ' || cast(p_partkey % 7 * 4 + 1 as string) || ' * ' || cast(p_partkey % 8 as string)
+    when 3 then '0 ' || cast(p_partkey % 24 as string) || ' ' || cast(p_partkey % 31 + 1 as string) || ' ' || cast(p_partkey % 12 + 1 as string) || ' *'
+    else '61 * * * *' end end as cron,
+  p_partkey % 7 <> 0 as enabled from part where p_size > 0""",
+    "wf_steps": """
+select 's' || cast(p_partkey as string) as step_id from part union all select 's' || cast(p_partkey as string) from part where p_partkey % 97 = 0""",
+    "wf_deps": """
+select 's' || cast(p_partkey as string) as step_id, 's' || cast({DIV:p_partkey,2} as string) as needs from part where p_partkey >= 2
+union all select 's' || cast(p_partkey as string), 's' || cast(p_partkey as string) from part where p_partkey % 89 = 0
+union all select 's' || cast(p_partkey as string), 'x' || cast(p_partkey as string) from part where p_partkey % 83 = 0""",
 }
 
 _DIALECTS = {
@@ -68,7 +90,8 @@ def render(name: str, dialect: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = BASE[name]
     rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    return spark.sql(re.sub(rf"\bfrom {base}\b", "from {rows}", render(name, "spark")), rows=rows)
+    text = render(name, "spark").replace("{", "{{").replace("}", "}}")  # braces of JSON
+    return spark.sql(re.sub(rf"\bfrom {base}\b", "from {rows}", text), rows=rows)
 
 
 def duckdb_ctes(*names: str) -> str:

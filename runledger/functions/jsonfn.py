@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONG_MAX = 2**63 - 1
+# Schemas of JSON values by kind.
+_KINDS = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
 
 
 def escape_pointer(segment: Column) -> Column:
@@ -36,7 +38,8 @@ def _diff(old: object, new: object, path: str, out: list[dict]) -> None:
 def diff_state(old: Column | str, new: Column | str) -> Column:
     """The RFC 6902 operations that turn one JSON text into another; values are JSON texts; null counts as JSON null.
 
-    Trees have any depth, which expressions cannot walk; each row is worked out alone, in Arrow batches.
+    Trees have any depth, which expressions cannot walk; each row is worked out alone, in Arrow batches. The result is null
+    where either text is no JSON.
     """
 
     @F.pandas_udf("array<struct<op: string, path: string, value: string>>")
@@ -44,8 +47,11 @@ def diff_state(old: Column | str, new: Column | str) -> Column:
         for olds, news in batches:
             rows = []
             for a, b in zip(olds, news, strict=True):
-                out: list[dict] = []
-                _diff(json.loads(a or "null"), json.loads(b or "null"), "", out)
+                out: list[dict] | None = []
+                try:
+                    _diff(json.loads("null" if a is None else a), json.loads("null" if b is None else b), "", out)
+                except ValueError:
+                    out = None
                 rows.append(out)
             yield pd.Series(rows, dtype=object)
 
@@ -72,6 +78,30 @@ def typed(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"mode": "FAILFAST"})
 
 
+def payload_faults(text: Column, fields: dict[str, tuple[str, bool]]) -> Column:
+    """What keeps a JSON text from having a shape, as an array: not_json, not_object, missing:name, type:name.
+
+    fields: name -> (kind, required); kinds are string, integer, number, boolean, object, array. A field that is
+    not required may also be null; fields that are not named are ignored.
+    """
+    value = F.try_parse_json(text)
+    shape = F.schema_of_variant(value)
+
+    def fault(name: str, kind: str, required: bool) -> Column:
+        got = F.schema_of_variant(F.try_variant_get(value, f"$['{name}']", "variant"))
+        absent = got.isNull() | (got == "VOID") if not required else got.isNull()
+        wrong = F.when(absent, F.concat(F.lit("missing:"), F.lit(name)) if required else F.lit(None).cast("string"))
+        return wrong.when(~F.coalesce(got.rlike(_KINDS[kind]), F.lit(False)), F.concat(F.lit("type:"), F.lit(name)))
+
+    found = F.array_compact(F.array(*[fault(n, k, r) for n, (k, r) in fields.items()])) if fields else F.array().cast("array<string>")
+    return F.when(value.isNull(), F.array(F.lit("not_json"))).when(~shape.startswith("OBJECT"), F.array(F.lit("not_object"))).otherwise(found)
+
+
+def first_fault(stages: dict[str, Column]) -> Column:
+    """stage:fault of the first stage (input, state, output) that has a fault; null where all are valid."""
+    return F.coalesce(*[F.when(F.size(faults) > 0, F.concat(F.lit(f"{stage}:"), F.get(faults, F.lit(0)))) for stage, faults in stages.items()])
+
+
 def backoff_ms(attempt: Column, base_ms: int, most_ms: int = LONG_MAX) -> Column:
     """base * 2^(attempt - 1), no more than most_ms, without overflow."""
     n = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(62))

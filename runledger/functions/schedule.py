@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MINUTE = 60_000
+MINUTE, DAY = 60_000, 86_400_000
 #: How far back a cron schedule looks for its last fire.
 LOOKBACK_MS = 32 * 24 * 60 * MINUTE
 # Fields of an expression with their least and greatest values.
@@ -62,13 +62,43 @@ def utc_parts(ms: Column) -> dict[str, Column]:
     return {"minute": F.minute(t), "hour": F.hour(t), "day": F.dayofmonth(t), "month": F.month(t), "weekday": F.dayofweek(t) - 1, "year": F.year(t)}
 
 
-def cron_matches(ms: Column, cron: dict[str, Field]) -> Column:
-    """Minute, hour and month, and the day by either field if both are restricted, else by both."""
+def cron_values(field: Column, low: int, high: int) -> Column:
+    """The values of one field of an expression in a column, as parse_field has them; null for a bad field."""
+
+    def of_part(part: Column) -> Column:
+        first = F.when(part.startswith("*"), F.lit(low)).otherwise(F.regexp_extract(part, r"^([0-9]+)", 1).try_cast("int"))
+        last = F.when(part.startswith("*"), F.lit(high)).otherwise(F.coalesce(F.regexp_extract(part, r"^[0-9]+-([0-9]+)", 1).try_cast("int"), first))
+        step = F.when(part.contains("/"), F.regexp_extract(part, r"/([0-9]+)$", 1).try_cast("int")).otherwise(F.lit(1))
+        good = part.rlike(r"^([*]|[0-9]+(-[0-9]+)?)(/[0-9]+)?$") & (first >= low) & (first <= last) & (last <= high) & (step > 0)
+        return F.when(good, F.sequence(F.when(good, first), F.when(good, last), F.when(good, step)))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(field, ","), of_part)))
+
+
+def cron_fields(expression: Column) -> Column:
+    """A struct of the fields' values and of whether day and weekday are `*`; null for an expression that is not valid.
+
+    7 as a weekday is Sunday, like 0.
+    """
+    texts = F.split(F.trim(expression), r"\s+")
+    values = [cron_values(F.get(texts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(FIELDS)]
+    values[4] = F.array_distinct(F.transform(values[4], lambda v: v % 7)).alias("weekday")
+    stars = [(F.get(texts, F.lit(i)) == "*").alias(name) for i, name in ((2, "any_day"), (4, "any_weekday"))]
+    valid = (F.size(texts) == len(FIELDS)) & F.concat(*values).isNotNull()
+    return F.when(valid, F.struct(*values, *stars))
+
+
+def _day_matches(cron: Column, day: Column, month: Column, weekday: Column) -> Column:
+    """By either field if day and weekday are both restricted, else by both."""
+    on_day, on_weekday = F.array_contains(cron["day"], day), F.array_contains(cron["weekday"], weekday)
+    either = ~cron["any_day"] & ~cron["any_weekday"]
+    return F.array_contains(cron["month"], month) & F.when(either, on_day | on_weekday).otherwise(on_day & on_weekday)
+
+
+def cron_matches(ms: Column, cron: Column) -> Column:
+    """Whether an instant's minute is one of cron_fields; null where the expression is not valid."""
     at = utc_parts(ms)
-    hit = {n: at[n].isin(*f.values) for n, f in cron.items()}
-    either = not cron["day"].any and not cron["weekday"].any
-    day = hit["day"] | hit["weekday"] if either else hit["day"] & hit["weekday"]
-    return hit["minute"] & hit["hour"] & hit["month"] & day
+    return F.array_contains(cron["minute"], at["minute"]) & F.array_contains(cron["hour"], at["hour"]) & _day_matches(cron, at["day"], at["month"], at["weekday"])
 
 
 def interval_fire(now: Column, every_ms: Column) -> Column:
@@ -76,25 +106,41 @@ def interval_fire(now: Column, every_ms: Column) -> Column:
     return F.when(every_ms > 0, now - F.pmod(now, every_ms))
 
 
-def previous_cron_fires(rows: DataFrame, expressions: dict[str, str], now: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
-    """expr, fire_at for rows (expr): the last matching minute within the look-back, both ends included, or null.
+def previous_cron_fire(now: Column, cron: Column, lookback_ms: int = LOOKBACK_MS) -> Column:
+    """The last minute of cron_fields from now's minute back to that less the look-back, both included, or null.
 
-    expressions: expr -> cron expression. Minutes are generated per row and filtered where they are made.
+    Days are tried, not minutes: of each day in reach, its last fire is the largest hour and minute, and of the
+    first day the largest that is not after now.
     """
     if lookback_ms < 0:
         raise ValueError("a look-back cannot be negative")
-    top = now - now % MINUTE
-    start = now - lookback_ms
-    minutes = F.sequence(F.lit(top), F.lit(start + (-start) % MINUTE), F.lit(-MINUTE)) if start + (-start) % MINUTE <= top else F.array().cast("array<bigint>")
-    each = rows.select("expr", F.explode_outer(minutes).alias("ms"))
-    matches = F.lit(False)
-    for name, text in expressions.items():
-        matches = F.when(F.col("expr") == name, cron_matches(F.col("ms"), parse_cron(text))).otherwise(matches)
-    return each.groupBy("expr").agg(F.max(F.when(matches, F.col("ms"))).alias("fire_at"))
-
-
-def materialize(schedules: DataFrame, now: int) -> DataFrame:
-    """schedule_id, verdict, fire_at of interval schedules (schedule_id, every_ms, enabled)."""
-    fire = interval_fire(F.lit(now).cast("long"), F.col("every_ms"))
-    verdict = F.when(~F.col("enabled"), "disabled").when(fire.isNull(), "not_due").otherwise("materialized")
-    return schedules.select("schedule_id", verdict.alias("verdict"), F.when(F.col("enabled"), fire).alias("fire_at"))
+    top = floor_to_minute(now)
+    today = F.floor(top / DAY).cast("int")
+    at = F.pmod(top, F.lit(DAY)) / MINUTE
+    hour, minute = F.floor(at / 60).cast("int"), (at % 60).cast("int")
+    latest = F.array_max(cron["hour"]) * 60 + F.array_max(cron["minute"])
+    this_hour = F.when(F.array_contains(cron["hour"], hour), hour * 60 + F.array_max(F.filter(cron["minute"], lambda m: m <= minute)))
+    earlier = F.array_max(F.filter(cron["hour"], lambda h: h < hour)) * 60 + F.array_max(cron["minute"])
+    latest_today = F.greatest(this_hour, earlier)
+
+    def fire(back: Column) -> Column:
+        day = today - back
+        date = F.date_from_unix_date(day)
+        of_day = F.when(back == 0, latest_today).otherwise(latest)
+        return F.when(_day_matches(cron, F.dayofmonth(date), F.month(date), F.pmod(day + 4, F.lit(7))), (day.cast("long") * (DAY // MINUTE) + of_day) * MINUTE)
+
+    last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(lookback_ms // DAY + 1)), fire))
+    return F.when(last >= top - lookback_ms, last)
+
+
+def materialize(schedules: DataFrame, now: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
+    """schedule_id, verdict, fire_at of schedules (schedule_id, every_ms or cron, enabled): disabled; error, for an interval
+    that is not positive, an expression that is not valid, or neither; not_due; materialized. One pass, no shuffle."""
+    at = F.lit(now).cast("long")
+    rows = schedules.withColumn("_cron", cron_fields(F.col("cron"))) if "cron" in schedules.columns else schedules.withColumn("_cron", cron_fields(F.lit(None).cast("string")))
+    by_interval = F.col("every_ms").isNotNull()
+    fire = F.when(by_interval, interval_fire(at, F.col("every_ms"))).otherwise(previous_cron_fire(at, F.col("_cron"), lookback_ms))
+    bad = F.when(by_interval, F.col("every_ms") <= 0).otherwise(F.col("_cron").isNull())
+    rows = rows.withColumn("_fire", fire)
+    verdict = F.when(~F.col("enabled"), "disabled").when(bad, "error").when(F.col("_fire").isNull(), "not_due").otherwise("materialized")
+    return rows.select("schedule_id", verdict.alias("verdict"), F.when(verdict == "materialized", F.col("_fire")).alias("fire_at"))

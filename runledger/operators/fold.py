@@ -29,11 +29,19 @@ def _first(value: Column | str, where: Column) -> Column:
     return F.min_by(value, F.when(where, F.col("event_index")))
 
 
+def decision(body: Column) -> Column:
+    """What an approval's resolution leaves as a result: the JSON of whether it was approved, and the feedback."""
+    v = F.try_parse_json(body)
+    both = F.struct(F.try_variant_get(v, "$.approved", "boolean").alias("approved"), F.try_variant_get(v, "$.feedback", "string").alias("feedback"))
+    return F.to_json(both, {"ignoreNullFields": "false"})
+
+
 def fold_step_states(events: DataFrame) -> DataFrame:
     """The state of each step: run_id, step_id, status, result, error, started_at, finished_at.
 
     The last hard event decides between running, success and failed; an await after the last start pauses a
-    step that has neither finished nor failed. A resolve gives a result and changes no status. A deadline
+    step that has neither finished nor failed. A resolve gives a result and changes no status: a signal's payload, or the
+    decision of an approval. A deadline
     sets finished_at whatever the status. Kinds that do not touch steps make no row.
     """
     idx = F.col("event_index")
@@ -43,7 +51,7 @@ def fold_step_states(events: DataFrame) -> DataFrame:
         _last("event_type", _is(*HARD)).alias("hard"),
         F.max(F.when(started, idx)).alias("started"),
         F.max(F.when(_is(*AWAITS), idx)).alias("awaited"),
-        _last("body", _is("STEP_FINISHED", *RESOLVES)).alias("result"),
+        _last(F.when(_is("APPROVAL_RESOLVED"), decision(F.col("body"))).otherwise(F.col("body")), _is("STEP_FINISHED", *RESOLVES)).alias("result"),
         _last(F.when(_is("STEP_FAILED"), F.col("body")), _is("STEP_FINISHED", "STEP_FAILED")).alias("error"),
         F.coalesce(_last("ts", started), _first("ts", _is(*AWAITS))).alias("started_at"),
         _last(F.when(_is(*AWAITS), F.col("deadline")).otherwise(F.col("ts")), ends).alias("finished_at"),

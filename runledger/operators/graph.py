@@ -90,10 +90,12 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
             rest = waiting.where("left > 0").join(gone, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
             waiting = waits.append(rest)
             waits.drop(waits.n - 2)
+        if not freed.n:
+            freed.append(waiting.select("node"))
     finally:
         edges.unpersist()
         waits.drop()
-    return freed.all() if freed.n else waiting.select("node", F.lit(0).alias("level"))
+    return freed.all()
 
 
 def renumbered(levels: DataFrame, block: int = 1 << 16) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import PERSISTED_KINDS, RUN_STATUSES, TERMINAL, TIMER
+from ..schema import DEFAULT_POLICY, OVERLAP_POLICIES, PERSISTED_KINDS, RUN_STATUSES, TERMINAL, TIMER
 
 
 def is_terminal(status: Column) -> Column:
@@ -31,6 +31,12 @@ def checked_status(status: Column) -> Column:
     return F.when(status.isin(*RUN_STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(status, F.lit("null")))))
 
 
+def checked_policy(policy: Column) -> Column:
+    """The overlap policy of a schedule, by default to skip; an unknown one is an error."""
+    named = F.coalesce(policy, F.lit(DEFAULT_POLICY))
+    return F.when(named.isin(*OVERLAP_POLICIES), named).otherwise(F.raise_error(F.concat(F.lit("unknown overlap policy: "), named)))
+
+
 def classify(runs: DataFrame) -> DataFrame:
     """run_id, kind: what a caller is told of each run (status null: no such run; then event_count decides)."""
     s = F.col("status")

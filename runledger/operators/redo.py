@@ -109,6 +109,13 @@ def goal_boundaries(events: DataFrame, goals: list[str]) -> DataFrame:
     return after.groupBy("run_id", "done_index").agg(F.min(F.when(F.col("event_index") > F.col("done_index"), F.col("event_index"))).alias("park_index"))
 
 
+def goal_statuses(events: DataFrame, goals: list[str]) -> DataFrame:
+    """run_id, step_id, done for the goals that a run has touched: whether a drive that starts now finds them finished,
+    and so parks before it starts anything else."""
+    rows = events.where(F.col("step_id").isin(*goals))
+    return rows.groupBy("run_id", "step_id").agg(F.bool_or(F.col("event_type") == "STEP_FINISHED").alias("done"))
+
+
 def stale_dependents(edges: DataFrame, redo: DataFrame) -> DataFrame:
     """Steps that depend on the redo set but are not in it."""
     return graph.descendants_from(edges, redo)

@@ -1,15 +1,16 @@
 """State machines over keyed tables: each takes a table and commands, and gives verdicts and changed rows, set-wise.
 
-A command meets its row by an equi-join; verdicts follow one precedence; a batch takes at most one command per key.
-Nothing reads a clock: `now` is always given.
+A command meets its row by an equi-join, and verdicts follow one precedence. Deliveries carry an arrival, distinct within a
+run: a batch is judged as if they came one by one, so the first that a run waits for is taken and the run, queued
+again, waits for nothing more. Other batches take at most one command per key. Nothing reads a clock: `now` is always given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DEFAULT_LEASE_MS, TERMINAL, TIMER
+from ..schema import DEFAULT_LEASE_MS, TIMER
 from .projections import can_claim, is_terminal, waits_for_approval, waits_for_signal
 
 
@@ -37,8 +38,8 @@ def claim_verdicts(runs: DataFrame, wanted: DataFrame, owner: str, now: int, lea
 
 
 def heartbeat(runs: DataFrame, owner: str, now: int, lease_ms: int = DEFAULT_LEASE_MS) -> DataFrame:
-    """run_id, lease_expires_at of the runs whose lease the owner holds, expired or not."""
-    return runs.where(F.col("lease_owner") == owner).select("run_id", F.lit(now + lease_ms).cast("long").alias("lease_expires_at"))
+    """run_id, lease_expires_at, updated_at of the runs whose lease the owner holds, expired or not."""
+    return runs.where(F.col("lease_owner") == owner).select("run_id", F.lit(now + lease_ms).cast("long").alias("lease_expires_at"), F.lit(now).cast("long").alias("updated_at"))
 
 
 def release(runs: DataFrame, owner: str) -> DataFrame:
@@ -47,9 +48,13 @@ def release(runs: DataFrame, owner: str) -> DataFrame:
 
 
 def claim_stale(runs: DataFrame, owner: str, now: int, limit: int = 25, lease_ms: int = DEFAULT_LEASE_MS) -> DataFrame:
-    """run_id, new_lease_owner, new_expires_at of running runs with an expired lease, longest untouched first."""
+    """run_id, new_lease_owner, new_expires_at, updated_at of running runs with an expired lease, longest untouched first."""
     stale = runs.where((F.col("status") == "running") & F.col("lease_owner").isNotNull() & (F.col("lease_expires_at") <= now))
-    return stale.orderBy("updated_at", "run_id").limit(limit).select("run_id", F.lit(owner).alias("new_lease_owner"), F.lit(now + lease_ms).cast("long").alias("new_expires_at"))
+    return stale.orderBy("updated_at", "run_id").limit(limit).select("run_id", *_lease(owner, now, lease_ms), F.lit(now).cast("long").alias("updated_at"))
+
+
+def _lease(owner: str, now: int, lease_ms: int) -> list[Column]:
+    return [F.lit(owner).alias("new_lease_owner"), F.lit(now + lease_ms).cast("long").alias("new_expires_at")]
 
 
 def cancel_verdicts(runs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def resume(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'paused'").select("run_id", F.lit("running").alias("status"), F.lit(None).cast("string").alias("wait_name"))
 
 
-def lease_ms(configured: F.Column | None, asked: F.Column | None) -> F.Column:
+def lease_ms(configured: Column | None, asked: Column | None) -> Column:
     """Asked for, else configured, else the default."""
     return F.coalesce(*[c for c in (asked, configured) if c is not None], F.lit(DEFAULT_LEASE_MS))
 
@@ -83,10 +88,11 @@ def schedule_timers(timers: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def due_timers(timers: DataFrame, owner: str, now: int, limit: int = 25) -> DataFrame:
-    """run_id, wake_at of the timers that are due and can be claimed, earliest first."""
+def due_timers(timers: DataFrame, owner: str, now: int, limit: int = 25, lease_ms: int = DEFAULT_LEASE_MS) -> DataFrame:
+    """run_id, signal_id, wake_at and the new lease of the timers that are due and can be claimed, earliest first.
+    A claim leaves the timer where it is; its delivery removes it."""
     due = timers.where((F.col("wake_at") <= now) & can_claim(F.col("lease_owner"), F.col("lease_expires_at"), owner, now))
-    return due.orderBy("wake_at", "run_id").limit(limit).select("run_id", "wake_at")
+    return due.orderBy("wake_at", "run_id", "signal_id").limit(limit).select("run_id", "signal_id", "wake_at", *_lease(owner, now, lease_ms))
 
 
 def timers_from_runs(runs: DataFrame) -> DataFrame:
@@ -95,27 +101,47 @@ def timers_from_runs(runs: DataFrame) -> DataFrame:
     return parked.select("run_id", F.concat_ws(":", F.lit("timer"), "run_id", F.lit(TIMER), F.col("wake_at").cast("string")).alias("signal_id"), "wake_at")
 
 
+def _one_by_one(rows: DataFrame, per: list[str], key: str, could: Column, done: str, prior: Column) -> DataFrame:
+    """rows with a verdict. Of the rows of one `per` that could be accepted, the first is `done`; later ones with its
+    key are duplicates, as are those for which `prior` holds; all others are not_waiting.
+
+    The first is found by a grouped minimum, so a run may have any share of the rows.
+    """
+    first = rows.where(could & ~prior).groupBy(*per).agg(F.min(F.struct("arrival", F.col(key).alias("key"))).alias("first"))
+    both = rows.join(first, per, "left")
+    same = F.coalesce(F.col("first.key") == F.col(key), F.lit(False))
+    verdict = (
+        F.when(F.col("status").isNull(), "not_found").when(prior, "duplicate").when(same & (F.col("arrival") == F.col("first.arrival")), done)
+        .when(same & (F.col("arrival") > F.col("first.arrival")), "duplicate").otherwise("not_waiting")
+    )
+    return both.withColumn("verdict", verdict)
+
+
 def deliver_signals(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """run_id, signal_id, verdict, in this order: not_found, duplicate, not_waiting, delivered."""
+    """run_id, signal_id, arrival, verdict of deliveries (run_id, signal_id, name, arrival, already_delivered), in this
+    order: not_found, duplicate, not_waiting, delivered. The first delivery that a paused run waits for queues it."""
     both = deliveries.join(runs.select("run_id", "status", "wait_name"), "run_id", "left")
-    waiting = (F.col("status") == "paused") & waits_for_signal(F.col("wait_name"), F.lit(None).cast("string"), F.col("name"), F.lit(None).cast("string"))
-    verdict = F.when(F.col("status").isNull(), "not_found").when(F.col("already_delivered"), "duplicate").when(waiting, "delivered").otherwise("not_waiting")
-    return both.select("run_id", "signal_id", verdict.alias("verdict"))
+    could = (F.col("status") == "paused") & waits_for_signal(F.col("wait_name"), F.lit(None).cast("string"), F.col("name"), F.lit(None).cast("string"))
+    return _one_by_one(both, ["run_id"], "signal_id", could, "delivered", F.col("already_delivered")).select("run_id", "signal_id", "arrival", "verdict")
 
 
 def deliver_approvals(runs: DataFrame, approvals: DataFrame) -> DataFrame:
-    """run_id, key, verdict of approvals (run_id, approval_id, already_delivered); keys are approval:{id}."""
-    both = approvals.join(runs.select("run_id", "status", "wait_name"), "run_id", "left")
-    waiting = (F.col("status") == "paused") & waits_for_approval(F.col("wait_name"), F.col("approval_id"))
-    verdict = F.when(F.col("status").isNull(), "not_found").when(F.col("already_delivered"), "duplicate").when(waiting, "delivered").otherwise("not_waiting")
-    return both.select("run_id", F.concat(F.lit("approval:"), "approval_id").alias("key"), verdict.alias("verdict"))
+    """run_id, key, arrival, verdict of approvals (run_id, approval_id, arrival, already_delivered), judged like signals; keys are approval:{id}."""
+    both = approvals.join(runs.select("run_id", "status", "wait_name"), "run_id", "left").withColumn("key", F.concat(F.lit("approval:"), "approval_id"))
+    could = (F.col("status") == "paused") & waits_for_approval(F.col("wait_name"), F.col("approval_id"))
+    return _one_by_one(both, ["run_id"], "key", could, "delivered", F.col("already_delivered")).select("run_id", "key", "arrival", "verdict")
 
 
-def buffer_signals(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """run_id, signal_id, verdict: a signal that may come early is boxed, unless the run has ended or it is a timer's."""
+def buffer_signals(runs: DataFrame, deliveries: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
+    """run_id, signal_id, arrival, verdict: a signal that may come early is boxed once, unless the run has ended or it is
+    a timer's. One that was delivered, or that the inbox (run_id, signal_id) or an earlier row has boxed, is a duplicate."""
     both = deliveries.join(runs.select("run_id", "status"), "run_id", "left")
-    verdict = F.when(F.col("status").isNull(), "not_found").when(F.col("already_delivered"), "duplicate").when(F.col("status").isin(*TERMINAL) | (F.col("name") == TIMER), "not_waiting").otherwise("buffered")
-    return both.select("run_id", "signal_id", verdict.alias("verdict"))
+    prior = F.col("already_delivered")
+    if inbox is not None:
+        both = both.join(inbox.select("run_id", "signal_id", F.lit(True).alias("boxed")).distinct(), ["run_id", "signal_id"], "left")
+        prior = prior | F.coalesce("boxed", F.lit(False))
+    could = F.col("status").isNotNull() & ~is_terminal(F.col("status")) & (F.col("name") != TIMER)
+    return _one_by_one(both, ["run_id", "signal_id"], "signal_id", could, "buffered", prior).select("run_id", "signal_id", "arrival", "verdict")
 
 
 def inbox_heads(inbox: DataFrame) -> DataFrame:
@@ -148,14 +174,15 @@ def upsert_schedules(schedules: DataFrame, new: DataFrame) -> DataFrame:
     return schedules.join(new.select("schedule_id"), "schedule_id", "left_anti").unionByName(new.select(schedules.columns))
 
 
-def due_buckets(due: DataFrame, buckets: DataFrame | None, owner: str, now: int, limit: int | None = None) -> DataFrame:
-    """schedule_id, bucket_id, run_id, fire_at of due fires (schedule_id, workflow_id, fire_at) that none has started
+def due_buckets(due: DataFrame, buckets: DataFrame | None, owner: str, now: int, limit: int | None = None, lease_ms: int = DEFAULT_LEASE_MS) -> DataFrame:
+    """schedule_id, bucket_id, run_id, fire_at and the new lease of due fires (schedule_id, workflow_id, fire_at) that none has started
     or leases; what is taken is dropped before any limit."""
     made = due.where(F.col("fire_at") <= now).select("schedule_id", F.col("fire_at").cast("string").alias("bucket_id"), F.concat_ws(":", "workflow_id", "schedule_id", F.col("fire_at").cast("string")).alias("run_id"), "fire_at")
     if buckets is not None:
         taken = buckets.where((F.col("status") == "started") | ~can_claim(F.col("lease_owner"), F.col("lease_expires_at"), owner, now))
         made = made.join(taken.select("schedule_id", "bucket_id"), ["schedule_id", "bucket_id"], "left_anti")
-    return made if limit is None else made.orderBy("fire_at", "schedule_id").limit(limit)
+    made = made if limit is None else made.orderBy("fire_at", "schedule_id").limit(limit)
+    return made.select("*", *_lease(owner, now, lease_ms))
 
 
 def start_buckets(buckets: DataFrame, started: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ TERMINAL = ("finished", "errored", "aborted")
 STEP_STATUSES = ("pending", "running", "success", "failed", "paused")
 OVERLAP_POLICIES = ("skip", "allow", "buffer-one", "cancel-previous", "terminate-previous")
 
+DEFAULT_POLICY = "skip"
+
 TIMER = "__timer"
 DEFAULT_LEASE_MS = 30_000
 

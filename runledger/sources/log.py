@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.projections import outcomes
 from ..schema import EVENTS, TERMINAL
 
 
@@ -60,9 +61,10 @@ def delete_runs(table: DataFrame, run_ids: DataFrame) -> DataFrame:
     return table.join(run_ids.select("run_id").distinct(), "run_id", "left_anti")
 
 
-def load_executions(runs: DataFrame, events: DataFrame, run_ids: list[str]) -> DataFrame:
-    """run_id, status, timeline: the runs asked for with their events in order (one array per run asked for)."""
-    asked = F.col("run_id").isin(*run_ids)
+def load_executions(runs: DataFrame, events: DataFrame, run_ids: list[str] | None = None) -> DataFrame:
+    """run_id, status, timeline: the runs asked for, or all, with their events in order. A timeline is one array, as its
+    reader gets it: for runs of millions of events take read_events."""
+    asked = F.lit(True) if run_ids is None else F.col("run_id").isin(*run_ids)
     line = F.array_sort(F.collect_list(F.struct("event_index", "event_type", "step_id")))
     timeline = events.where(asked).groupBy("run_id").agg(line.alias("timeline"))
     return runs.where(asked).select("run_id", "status").join(timeline, "run_id", "left")
@@ -91,3 +93,11 @@ def attach(runs: DataFrame, events: DataFrame) -> DataFrame:
     kind = F.when(F.col("status") == "finished", "RUN_FINISHED").otherwise("RUN_ERRORED")
     end = open_ended.select("run_id", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("position"), kind.alias("event_type"))
     return start.unionByName(log).unionByName(end)
+
+
+def drained(runs: DataFrame, events: DataFrame, from_index: DataFrame) -> DataFrame:
+    """run_id, n_events, status, wait_name: how many events each run of from_index (run_id, from_index) wrote from there on,
+    and what became of it. The outcome is the run's state, never the last event: a run may be driven again without writing."""
+    new = events.join(from_index, "run_id").where(F.col("event_index") >= F.col("from_index")).groupBy("run_id").agg(F.count("*").alias("n_events"))
+    both = from_index.select("run_id").join(new, "run_id", "left").join(outcomes(runs), "run_id", "left")
+    return both.select("run_id", F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), "status", "wait_name")

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.jsonfn import diff_state
 from ..operators.fold import fold_step_states
 from ..operators.transitions import due_timers
-from ..schema import EVENTS
+from ..schema import EVENTS, OBSERVED_KINDS
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -27,10 +27,20 @@ def tail(spark: SparkSession, path: str, run_id: str | None = None, from_index:
     return rows if run_id is None else rows.where(F.col("run_id") == run_id)
 
 
-def publish(stream: DataFrame, sinks: list[Sink], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Sends every micro-batch to each sink once, however often it is listed; a sink that fails stops no other.
+class Failures(list):
+    """What sinks failed with: (batch, error), in order."""
+
+    def raise_any(self) -> None:
+        if self:
+            raise RuntimeError(f"a sink failed on batch {self[0][0]}") from self[0][1]
+
+
+def publish(stream: DataFrame, sinks: list[Sink], checkpoint: str, mode: str = "append", failures: Failures | None = None, every: str | None = None) -> StreamingQuery:
+    """Sends every micro-batch to each sink once, however often it is listed; a sink that fails stops no other, and what it
+    failed with is added to failures, or else raised once the other sinks have had the batch.
 
     A batch is written beside the checkpoint once, and sinks read that, so none of them runs the stream's plan again.
+    every: an interval like "10 seconds", to follow the log until the query is stopped; else it ends with what is there.
     """
     distinct = list({id(s): s for s in sinks}.values())
 
@@ -38,13 +48,26 @@ def publish(stream: DataFrame, sinks: list[Sink], checkpoint: str, mode: str = "
         path = f"{checkpoint}-batches/{number % 2}"
         batch.write.mode("overwrite").parquet(path)
         written = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        failed = Failures() if failures is None else failures
         for sink in distinct:
             try:
                 sink(written, number)
-            except Exception as e:  # noqa: BLE001  a subscriber must not stop the log
-                print(f"a sink failed on batch {number}: {e}")
+            except Exception as e:  # noqa: BLE001  a subscriber must not stop the others
+                failed.append((number, e))
+        if failures is None:
+            failed.raise_any()
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
 
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+def emitted(rows: DataFrame, kind: str = "CUSTOM") -> DataFrame:
+    """Events of rows (run_id, name, body, ts, and step_id for progress) that are shown and not kept: CUSTOM, STEP_PROGRESS or
+    STATE_DELTA. They have no index, as the log does not hold them."""
+    if kind not in OBSERVED_KINDS:
+        raise ValueError(f"{kind} is no kind that is only observed")
+    step = F.col("step_id") if "step_id" in rows.columns else F.lit(None).cast("string")
+    return rows.select("run_id", F.lit(None).cast("long").alias("event_index"), F.lit(kind).alias("event_type"), step.alias("step_id"), "name", F.lit(None).cast("long").alias("deadline"), "body", "ts")
 
 
 def step_states(stream: DataFrame) -> DataFrame:
@@ -70,9 +93,10 @@ def sweep_timers(timers: Callable[[], DataFrame], owner: str, limit: int = 25) -
 
 
 def replay_step_states(events: DataFrame, folder: str, batches: int = 3) -> DataFrame:
-    """events written as several files and folded file by file as a stream; the last state of each step."""
+    """events written as files, of which each batch of a stream folds a share; the last state of each step."""
     spark = events.sparkSession
-    events.repartition(batches).write.mode("overwrite").parquet(f"{folder}/log")
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events.repartition(files).write.mode("overwrite").parquet(f"{folder}/log")
     columns = [c.split(" ")[0] for c in EVENTS.split(", ")]
     assert set(columns) <= set(events.columns)
 
@@ -80,6 +104,6 @@ def replay_step_states(events: DataFrame, folder: str, batches: int = 3) -> Data
         batch.write.mode("overwrite").parquet(f"{folder}/states-{number % 2}")
         spark.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{folder}/last")
 
-    publish(step_states(tail(spark, f"{folder}/log", files_per_batch=1)), [keep], f"{folder}/checkpoint", "complete").awaitTermination()
+    publish(step_states(tail(spark, f"{folder}/log", files_per_batch=-(-files // batches))), [keep], f"{folder}/checkpoint", "complete").awaitTermination()
     last = spark.read.parquet(f"{folder}/last").first().n
     return spark.read.parquet(f"{folder}/states-{last % 2}")
