@@ -5,8 +5,9 @@ percent of the union; components of links are groups of near-duplicates.
 
 1. Each document gets its set's digest, BANDS band keys of ROWS MinHash values each, and a further signature
    for verification. Documents with equal sets form one class, represented by its least id.
-2. Classes that share a band key are candidates. First each is compared with the least id under its key, the
-   leader, which joins large groups of near copies without listing their pairs; linked classes are united.
+2. Classes that share a band key are candidates. First each is compared with the least id under its keys, its
+   leader, which joins large groups of near copies without listing their pairs; linked classes are united. Then each is
+   compared with the least ids of its other keys that it is not united with.
 3. Classes that share a leader but are still apart are narrowed without listing their pairs and without
    losing a link. Of their shingles outside the leader's set, those that at most RARE of them hold list the
    few pairs that share one. Any other pair shares only shingles of the leader or frequent ones, so the lesser
@@ -253,6 +254,15 @@ def narrowed(profile: DataFrame, rare: DataFrame, threshold: int) -> DataFrame:
     return by_rare.union(by_bound).distinct()
 
 
+def still_apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet."""
+    groups = shared.small(groups, shared.BROADCAST_KEYS)
+    for end in "ab":
+        of_end = groups.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+        pairs = pairs.join(of_end, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    return pairs.where("c_a != c_b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -277,8 +287,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
         return df.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     star = members.where((F.col("id") != F.col("lo")) & similar_sizes("n_shingles", "n_lo", threshold)).select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    links = links_of(star, "star")
-    groups = work.save(components(links, work, "star-components"), "star-groups")
+    star = work.save(star.distinct(), "star")
+    # the least leader of each class first; what that joins need not be compared with its other leaders
+    first = work.save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    groups = work.save(components(links_of(first, "first"), work, "first-components"), "first-groups")
+    others = still_apart(star.join(first, ["a", "b"], "left_anti"), groups)
+    groups = work.save(components(links_of(others, "star"), work, "star-components", groups), "star-groups")
 
     # leaders with classes under one key that are still apart
     of_key = work.save(labelled(members.where("id != lo").select("key", "lo", "id", F.col("n_shingles").alias("n")), groups), "labelled")
