@@ -2,7 +2,7 @@
 
 Features are rates of a whole text: densities of a fixed and of a learned lexicon, how near lexicon words stand
 to second-person words, capitals, punctuation, and words that hide letters behind digits and signs. The learned
-lexicon holds the words that mark toxic texts among labelled ones. Trees learn from a bounded sample of labelled
+lexicon holds the words, and the beginnings of longer words, that mark toxic texts among labelled ones. Trees learn from a bounded sample of labelled
 documents that are not held out; the calibration from others of the same kind.
 
 Defined results: null and empty texts are scored like any text, from features of 0; labels that are null teach
@@ -28,8 +28,10 @@ from . import shared
 
 #: Labelled documents that are learned from, at most in expectation; one in four of them calibrates.
 SAMPLE = 24_000
-#: Words of the learned lexicon, and in how many toxic texts each occurs at least.
+#: Words of the learned lexicon (and as many beginnings), and in how many toxic texts each occurs at least.
 LEARNED, LEAST_TEXTS = 200, 8
+#: Letters of the beginnings of longer words.
+STEM = 6
 #: Distinct tokens whose properties a task keeps.
 TOKEN_LIMIT = 200_000
 #: Tokens within which a second-person word stands near a lexicon word.
@@ -44,19 +46,32 @@ SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine ihr
 
 _HIDDEN = str.maketrans("013457@$!|", "oieasta" + "sil")
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
-_INSIDE = re.compile(r"[^\W\d_][\d@$!|*#%&][^\W\d_]")
+# signs or digits between letters or before them, or letters one by one
+_INSIDE = re.compile(r"[^\W\d_][\d@$!|*#%&]+[^\W\d_]|^[(\"']*[\d@$!|]+[^\W\d_]{2}")
+_SPELLED = re.compile(r"[^\W\d_](?:[.\-_*][^\W\d_]){2,}[.\-_*]?")
+_MASK = re.compile(r"[*#%&]+")
 
 #: Properties of a token that are summed: in order the columns of Tokens.table.
-_PROPERTIES = ("fixed", "learned", "weight", "second", "hidden", "hidden_hit", "caps", "letters", "upper", "digits", "signs", "calls", "chars")
-FEATURES = ("fixed", "learned", "weight", "hits", "near", "second", "upper", "caps", "signs", "calls", "digits", "hidden", "hidden_hit", "burst", "words", "word_length")
+_PROPERTIES = ("fixed", "learned", "weight", "second", "hidden", "hidden_hit", "caps", "letters", "upper", "digits", "signs", "calls", "chars", "stem", "stem_weight")
+FEATURES = ("fixed", "learned", "weight", "hits", "near", "second", "upper", "caps", "signs", "calls", "digits", "hidden", "hidden_hit", "burst", "words", "word_length", "stem", "stem_weight")
 
 
 def core(token: str) -> str:
     return _STRIP.sub("", token.lower())
 
 
-def unhidden(word: str) -> str:
-    return word.translate(_HIDDEN)
+def stem(word: str) -> str | None:
+    """The beginning of a longer word, as the lexicon writes it."""
+    return word[:STEM] + "*" if len(word) > STEM else None
+
+
+def unhidden(token: str) -> set[str]:
+    """The words that a token with signs or digits may stand for: signs read as letters, and dots between letters left out."""
+    low = token.lower().strip("\"'()[].,;:?")
+    out = {core(low.translate(_HIDDEN)), core(low).translate(_HIDDEN), core(low.rstrip("!").translate(_HIDDEN))}
+    if _SPELLED.fullmatch(low):
+        out.add(re.sub(r"[.\-_*]", "", low))
+    return out
 
 
 class Tokens:
@@ -64,22 +79,33 @@ class Tokens:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
+        self.words = sorted(INSULTS | {w for w in lexicon if not w.endswith("*")})
         self.clear()
 
+    def _stands_for_insult(self, token: str) -> bool:
+        if any(w in INSULTS or w in self.lexicon for w in unhidden(token)):
+            return True
+        low = core(token)
+        if not _MASK.search(low):
+            return False
+        # a run of masks stands for one letter or more
+        pattern = re.compile(r"[^\W\d_]+".join(map(re.escape, _MASK.split(low))))
+        return any(pattern.fullmatch(w) for w in self.words)
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.empty((0, len(_PROPERTIES)), np.float64)
 
     def _row(self, token: str) -> tuple:
         word = core(token)
-        plain = unhidden(word)
         letters, digits = sum(map(str.isalpha, token)), sum(map(str.isdigit, token))
         upper = sum(map(str.isupper, token))
-        hidden = bool(_INSIDE.search(token))
+        hidden = bool(_INSIDE.search(token) or _SPELLED.fullmatch(core(token)))
         known = word in INSULTS or word in self.lexicon
-        hit = hidden and not known and (plain in INSULTS or plain in self.lexicon)
+        hit = hidden and not known and self._stands_for_insult(token)
+        begun = self.lexicon.get(stem(word) or "", 0.0)
         weight = self.lexicon.get(word, 0.0)
-        return (word in INSULTS, word in self.lexicon, weight, word in SECOND_PERSON, hidden, hit, letters > 1 and upper == letters, letters, upper, digits, len(token) - letters - digits, token.count("!"), len(token))
+        return (word in INSULTS, word in self.lexicon, weight, word in SECOND_PERSON, hidden, hit, letters > 1 and upper == letters, letters, upper, digits, len(token) - letters - digits, token.count("!"), len(token), begun > 0, begun)
 
     def features(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > TOKEN_LIMIT:
@@ -105,7 +131,7 @@ class Tokens:
             gap = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - hit), np.abs(hit - you[np.maximum(after - 1, 0)]))
             near = int((gap <= NEAR).sum())
         chars, letters = max(s["chars"], 1), max(s["letters"], 1)
-        return np.array([s["fixed"] / n, s["learned"] / n, s["weight"] / n, np.log1p(len(hit)), near / max(len(hit), 1), s["second"] / n, s["upper"] / letters, s["caps"] / n, s["signs"] / chars, s["calls"] / chars, s["digits"] / chars, s["hidden"] / n, s["hidden_hit"] / n, burst, np.log1p(len(ids)), s["chars"] / n])
+        return np.array([s["fixed"] / n, s["learned"] / n, s["weight"] / n, np.log1p(len(hit)), near / max(len(hit), 1), s["second"] / n, s["upper"] / letters, s["caps"] / n, s["signs"] / chars, s["calls"] / chars, s["digits"] / chars, s["hidden"] / n, s["hidden_hit"] / n, burst, np.log1p(len(ids)), s["chars"] / n, s["stem"] / n, s["stem_weight"] / n])
 
 
 def features(text: Column, lexicon: dict[str, float]) -> Column:
@@ -140,19 +166,22 @@ def _texts_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         found: dict[str, list[int]] = {}
         for text, toxic in zip(rows.text, rows.toxic, strict=True):
-            for w in {core(t) for t in (text or "").split()}:
+            ws = {core(t) for t in (text or "").split()}
+            for w in ws | {b for w in ws if (b := stem(w))}:
                 found.setdefault(w, [0, 0])[toxic] += 1
         yield pd.DataFrame([(w, a, b) for w, (a, b) in found.items() if w], columns=["word", "clean", "toxic"])
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """The words that mark toxic texts most, with their log odds."""
+    """The words and beginnings that mark toxic texts most, LEARNED of each, with their log odds."""
     n = rows.groupBy().agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).first()
     clean, toxic = n.clean or 0, n.toxic or 0
     counts = rows.select("text", "toxic").mapInPandas(_texts_with, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     marked = counts.where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).where("odds > 1.5")
-    return {r.word: r.odds for r in marked.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(LEARNED).collect()}
+    most = marked.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "word")
+    rows = [r for begun in (False, True) for r in most.where(F.col("word").endswith("*") == begun).limit(LEARNED).collect()]
+    return {r.word: r.odds for r in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
