@@ -69,28 +69,28 @@ def targets(source_sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, share_percent
     return ranked.select("k", "source_size", F.when(F.col("at_limit"), F.col("limit").cast("double")).otherwise(shared_out).alias("target"), "tilt")
 
 
-def plan(docs: DataFrame) -> DataFrame:
+def plan(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, position, positions.
 
     position is the training time at which the document first enters, in millionths of a word's share (null if it never does);
-    positions holds that of each of the REPEATS passes, null for passes that do not reach the document.
+    positions holds that of each of the passes (`repeats` of them at most), null for passes that do not reach the document.
     """
     spark = docs.sparkSession
     work = shared.Workspace(spark, "mixing")
     rows = work.save(sizes(docs), "sizes").withColumn("slice", F.substring("digest", 1, SLICE_DIGITS))
     cells = work.save(rows.groupBy("k", "slice").agg(F.sum("size").alias("cell")), "cells")
-    goal = targets(cells.groupBy("k").agg(F.sum("cell").alias("source_size")))
+    goal = targets(cells.groupBy("k").agg(F.sum("cell").alias("source_size")), repeats=repeats)
     prior = F.coalesce(F.sum("cell").over(Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = work.save(cells.withColumn("prior", prior).join(goal, "k").drop("cell"), "offsets")
     inside = Window.partitionBy("k", "slice").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(cells, ["k", "slice"]).withColumn("offset", F.col("prior") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.select("doc_id", "source", "size", "source_size", "target", *_entries())
+    return placed.select("doc_id", "source", "size", "source_size", "target", *_entries(repeats))
 
 
-def _entries() -> list[F.Column]:
+def _entries(repeats: int) -> list[F.Column]:
     end = F.floor(F.col("target") + 0.5)
     taken = F.lit(0).cast("long")
-    for done in range(REPEATS):
+    for done in range(repeats):
         # of this pass, the words from offset on that lie before the end
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), end - F.col("offset") - F.col("source_size") * done))
     k = F.col("tilt") / 100.0
@@ -101,7 +101,7 @@ def _entries() -> list[F.Column]:
         u = F.when(F.col("tilt") == 0, y).otherwise((F.sqrt((1 - k) * (1 - k) + 4 * k * y) - (1 - k)) / (2 * k))
         return F.when((F.col("target") > 0) & (offset < end), F.floor(u * 1_000_000).cast("long"))
 
-    return [taken.cast("long").alias("taken"), position(0).alias("position"), F.array(*map(position, range(REPEATS))).alias("positions")]
+    return [taken.cast("long").alias("taken"), position(0).alias("position"), F.array(*map(position, range(repeats))).alias("positions")]
 
 
 def range_sorted(planned: DataFrame) -> DataFrame:
@@ -113,16 +113,16 @@ def range_sorted(planned: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared.Workspace(spark, "mix-query")
-    planned = work.save(plan(shared.table(spark, sf_dir, "documents")).drop("positions"), "plan")
-    return range_sorted(planned).select("doc_id", "size", "source_size", "target", "taken", "position")
+    planned = work.save(plan(shared.table(spark, sf_dir, "documents")).withColumn("second_position", F.get("positions", F.lit(1))).drop("positions"), "plan")
+    return range_sorted(planned).select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """docs as the mix has them: a row for each pass that reaches the document (whole, also where the demand
     ends inside it), none for documents that are not reached, range-sorted by the positions of all passes; the columns of docs."""
     work = shared.Workspace(docs.sparkSession, "mix")
-    first_of_id = F.array(*(F.min(F.get("positions", F.lit(done))) for done in range(REPEATS)))
-    entered = work.save(plan(docs).where("taken > 0").groupBy("doc_id").agg(first_of_id.alias("_positions")), "entered").withColumnRenamed("doc_id", "_doc_id")
+    first_of_id = F.array(*(F.min(F.get("positions", F.lit(done))) for done in range(repeats)))
+    entered = work.save(plan(docs, repeats).where("taken > 0").groupBy("doc_id").agg(first_of_id.alias("_positions")), "entered").withColumnRenamed("doc_id", "_doc_id")
     rows = docs.select(F.struct("*").alias("d")).join(entered, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")))
     rows = rows.select("d", "_doc_id", F.posexplode("_positions").alias("_pass", "_position")).where("_position is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -148,9 +148,10 @@ t as (select f.k, f.source_size, f.tilt,
 o as (select d.doc_id, d.size, t.source_size, t.target, t.tilt, floor(t.target + 0.5)::bigint as fin,
              coalesce(sum(d.size) over (partition by d.k order by d.digest, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as pos
       from d join t on d.k = t.k),
-y as (select *, tilt::double / 100.0::double as a, pos::double / target as b from o)
+y as (select *, tilt::double / 100.0::double as a, pos::double / target as b, (pos + source_size)::double / target as c from o)
 select doc_id, size, source_size, target,
        greatest(0, least(size, fin - pos)) + greatest(0, least(size, fin - pos - source_size)) as taken,
-       case when target > 0 and pos < fin then floor((case when tilt = 0 then b else (sqrt((1 - a) * (1 - a) + 4 * a * b) - (1 - a)) / (2 * a) end) * 1000000)::bigint end as position
+       case when target > 0 and pos < fin then floor((case when tilt = 0 then b else (sqrt((1 - a) * (1 - a) + 4 * a * b) - (1 - a)) / (2 * a) end) * 1000000)::bigint end as position,
+       case when target > 0 and pos + source_size < fin then floor((case when tilt = 0 then c else (sqrt((1 - a) * (1 - a) + 4 * a * c) - (1 - a)) / (2 * a) end) * 1000000)::bigint end as second_position
 from y
 """

@@ -90,3 +90,26 @@ def test_mixed_order_against_brute_merge(spark):
     got = {r.doc_id: r.positions for r in mixing.plan(docs).collect()}
     assert all(got[i][done] == at for at, i, done in entries)
     assert sum(p is not None for ps in got.values() for p in ps) == len(entries)
+
+
+def test_shares_follow_the_curriculum_over_time(spark):
+    """In each tenth of training time, each source has the words that its integrated rate demands; three passes as well."""
+    rows = [(i, f"s{i % 3}", "w " * (1 + i * 37 % 41)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for repeats in (2, 3):
+        got = mixing.plan(docs, repeats).collect()
+        assert {len(r.positions) for r in got} == {repeats}
+        target = {r.source: r.target for r in got}
+        words = {}
+        for r in got:
+            for p in r.positions:
+                if p is not None:
+                    words[r.source, min(9, p // 100_000)] = words.get((r.source, min(9, p // 100_000)), 0) + r.size
+        for n, source in enumerate(sorted(target)):
+            k = mixing.TILTS[n] / 100
+            for tenth in range(10):
+                u, v = tenth / 10, (tenth + 1) / 10
+                due = target[source] * (k * (v * v - u * u) + (1 - k) * (v - u))
+                assert abs(words.get((source, tenth), 0) - due) <= 90, (source, tenth)
+    out = mixing.mixed(docs, 3)
+    assert out.count() == sum(p is not None for r in mixing.plan(docs, 3).collect() for p in r.positions)
