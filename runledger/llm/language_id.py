@@ -9,7 +9,7 @@ above a bound calibrated on other labelled texts of that language and length are
 short, length classes under 32 characters are calibrated on runs of words cut from those texts as well.
 
 Defined results: null texts and texts without a letter are `und`, score 0, and rejected; with no labelled
-text at all every text is `und`; ties go to the language that sorts first; rows with a null id never are
+text at all every text is `und`, and keep_identified leaves the rows as they are unless told otherwise; ties go to the language that sorts first; rows with a null id never are
 held out; labels that are null teach nothing; repeated rows get equal results.
 """
 
@@ -287,9 +287,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
 
 
-def keep_identified(docs: DataFrame, models: Models | None = None) -> DataFrame:
-    """The rows of docs whose language the models accept, with the columns that docs has."""
+def keep_identified(docs: DataFrame, models: Models | None = None, unlearned: str = "keep") -> DataFrame:
+    """The rows of docs whose language the models accept, with the columns that docs has.
+
+    unlearned: what becomes of docs where no row is labelled, so that no model can reject anything: keep, drop or raise.
+    """
     models = models or fit(docs)
     if models is None:
-        return docs.limit(0)
+        if unlearned == "raise":
+            raise ValueError("no labelled text to learn a language from")
+        return docs if unlearned == "keep" else docs.limit(0)
     return docs.select(F.struct("*").alias("d"), predict(docs["text"], models).alias("p")).where("not p.rejected").select("d.*")

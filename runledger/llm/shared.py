@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, so that Python workers hold few long texts at once."""
+    """Bounds the rows of this session's Arrow batches from here on; Spark bounds their bytes (64 MB, unless
+    spark.sql.execution.arrow.maxBytesPerBatch says otherwise), so that Python workers hold few long texts at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

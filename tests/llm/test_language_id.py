@@ -74,6 +74,10 @@ def test_edges(spark):
     kept = li.keep_identified(docs, models)
     assert kept.columns == docs.columns and {200, 201, 202}.isdisjoint(r.doc_id for r in kept.collect())
     assert li.fit(docs.limit(0)) is None and li.keep_identified(docs.limit(0)).count() == 0
+    blank = docs.withColumn("lang", li.F.lit(None).cast("string"))
+    assert li.keep_identified(blank).count() == docs.count() and li.keep_identified(blank, unlearned="drop").count() == 0
+    with pytest.raises(ValueError):
+        li.keep_identified(blank, unlearned="raise")
     assert docs.select(li.predict(docs.text, None).alias("p")).where("p.lang != 'und'").count() == 0
 
 
