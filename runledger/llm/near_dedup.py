@@ -167,7 +167,8 @@ def survivors(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFr
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b); pairs of one a follow each other within a task. The pairs of an a that has more than
     shared.HOT of them are spread over salts, and its text is repeated for each."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    work = shared.Workspace(pairs.sparkSession, "pair-texts")
+    ids = work.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     texts = shared.among(docs.select("doc_id", "text"), "doc_id", ids)
     hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > shared.HOT).select("a", F.lit(True).alias("hot"))
     hot = shared.small(hot, shared.BROADCAST_KEYS)
@@ -255,8 +256,14 @@ def narrowed(profile: DataFrame, rare: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    shared.small_batches(docs.sparkSession)
+    result = shared.Workspace(docs.sparkSession, "near-duplicates")
+    with shared.temporary():
+        return result.save(_decided(docs, words, threshold), "result")
+
+
+def _decided(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
-    shared.small_batches(spark)
     work = shared.Workspace(spark, "near-dedup")
     sketched = work.save(sketches(docs, words), "sketches")
     classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
@@ -299,10 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     groups = work.save(components(links_of(rest, "rest"), work, "components", groups), "groups")
     found = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(groups, "id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id", "doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    result = shared.Workspace(spark, "near-duplicates").save(found, "result")
-    work.drop()
-    return result
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
