@@ -1,12 +1,6 @@
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(__file__))
-from oracle import duck, same  # noqa: E402
-
-from runledger.plans import catalog  # noqa: E402
+from oracle import duck, same
+from runledger.plans import catalog
 
 FOLDER = "/root/testdata/sf0.01"
 
