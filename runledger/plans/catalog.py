@@ -73,6 +73,9 @@ def _append_batch(e: DataFrame) -> DataFrame:
 add("S05_load_run", "select run_id, status, wait_name from wf_runs where run_id = 'o7'", (RU,))(lambda r: log.load_run(r, "o7").select("run_id", "status", "wait_name"))
 
 
+add("S08_load_run", "select * from wf_runs where run_id = 'o34'", (RU,))(lambda r: log.load_run(r, "o34"))
+
+
 @add("S06_save_states", """select run_id, case when status = 'queued' then 'running' else status end as status, lease_owner,
 case when status = 'queued' then 'sig-0' else wait_name end as wait_name from wf_runs""", (RU,))
 def _save(r: DataFrame) -> DataFrame:
@@ -181,6 +184,9 @@ def _nodes(like: DataFrame, *ids: int) -> DataFrame:
 
 add("G02_edge_faults", """with n as (select dst as node from wf_edges where dst % 2 = 1), e as (select src, dst from wf_edges union all select 3, 3)
 select src, dst, case when src not in (from n) or dst not in (from n) then 'node_not_found' else 'self_loop' end as fault from e where src not in (from n) or dst not in (from n) or src = dst""", (ED,))(lambda e: graph.edge_faults(e.where("dst % 2 = 1").select(F.col("dst").alias("node")), e.union(e.sparkSession.createDataFrame([(3, 3)], "src long, dst long"))))
+add("G01_nodes", "select src as node from wf_edges union select dst from wf_edges union select -substr(schedule_id, 2)::bigint from wf_schedules", (ED, SC))(
+    lambda e, s: graph.nodes_of(e, s.select((-F.substring("schedule_id", 2, 20).cast("long")).alias("node")))
+)
 add("G03_counts", "select (select count(*) from (select src from wf_edges union select dst from wf_edges)) as nodes, (select count(*) from wf_edges) as edges", (ED,))(lambda e: graph.degrees(e).agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges")))
 add("G04_topo_level", """with l(node, level) as (select distinct src, 0 from wf_edges where src not in (select dst from wf_edges)
 union select e.dst, l.level + 1 from wf_edges e join l on e.src = l.node) select node, max(level) as level from l group by 1""", (ED,))(graph.topological_levels)
@@ -323,6 +329,7 @@ _BOXED = "(select *, run_id in (select run_id from wf_runs where workflow_id = '
 add("T05_buffer_verdict", _sequential("signal_id", "run_id, signal_id", f"status not in ('finished', 'errored', 'aborted') and name <> '{TIMER}'", "buffered", _BOXED, "already_delivered or boxed").replace("o.key,", "o.signal_id,", 1), (AR, RU))(
     lambda d, r: transitions.buffer_signals(r, d, r.where("workflow_id = 'wf-2'").select("run_id", F.lit("s2").alias("signal_id")))
 )
+add("W03_first_deliveries", "select distinct run_id, signal_id from wf_arrivals", (AR,))(lambda d: live.first_deliveries(d).select("run_id", "signal_id"))
 add("T06_inbox_head", """select run_id, name, arg_min(signal_id, signal_id) as signal_id from wf_deliveries group by 1, 2""", (DE,))(lambda d: transitions.inbox_heads(d.withColumn("sequence", F.col("signal_id"))))
 add("T07_step_signal_verdict", """with a as (select run_id, step_id, arg_max(name, event_index) as name from wf_events where event_type = 'SIGNAL_AWAITED' group by 1, 2), s as (select distinct run_id, step_id from wf_events)
 select s.run_id, s.step_id, name, case when name is null then 'lost' else 'resolved' end as verdict from s left join a using (run_id, step_id)""", (EV,))(lambda e: transitions.step_signal_verdicts(e, e.select("run_id", "step_id").distinct()))
