@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Keys a bucket holds before it splits, and the salts that a group of copies is collapsed by before it is dealt.
-BUCKET_KEYS, SALTS = 32_768, 16
+BUCKET_KEYS, SALTS = 32_768, 4
 #: Slots of the directory that are broadcast (24 bytes each); a larger directory is joined by shuffles.
 BROADCAST_SLOTS = 1 << 20
 
