@@ -37,6 +37,8 @@ REJECT_SHARE, SLACK = 0.001, 1.05
 SHORT_CLASSES, RUNS, FEW = 6, 4, 30
 #: Distinct words a task keeps before it starts anew.
 WORD_LIMIT = 300_000
+#: Characters that are cut into words, and new words that are worked out, at a time.
+CHARS_AT_ONCE, WORDS_AT_ONCE = 500_000, 8_192
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -193,11 +195,25 @@ class Scorer:
         self.size = np.concatenate([self.size, size * letters])
 
     def score(self, texts: list[str]) -> list[tuple]:
+        """Texts are cut into words a group of some CHARS_AT_ONCE characters at a time, and new words worked out WORDS_AT_ONCE
+        at a time, so that a batch of long texts takes no more memory than one of them."""
+        out: list[tuple] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text or "")
+            if size >= CHARS_AT_ONCE:
+                out += self._score(group)
+                group, size = [], 0
+        return out + self._score(group)
+
+    def _score(self, texts: list[str]) -> list[tuple]:
         if len(self.at) > WORD_LIMIT:
             self.clear()
         cut = [words(t) if t else [] for t in texts]
-        if new := sorted({w for ws in cut for w in ws} - self.at.keys()):
-            self.add(new)
+        new = sorted({w for ws in cut for w in ws} - self.at.keys())
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self.add(new[i : i + WORDS_AT_ONCE])
         return [self._one(ws) for ws in cut]
 
     def _one(self, ws: list[str]) -> tuple:

@@ -93,3 +93,16 @@ def test_foreign_texts_are_rejected_and_clean_ones_stay(spark):
     assert len(cut) > 500
     assert sum(r[4] for r in scorer.score(cut)) <= 0.02 * len(cut)
     assert sum(r[4] for r in scorer.score(clean.text.tolist())) <= 0.02 * len(clean)
+
+
+def test_scores_do_not_depend_on_groups(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    models = li.fit(docs)
+    texts = [r.text for r in docs.collect()] + [None, "", "x" * 2_000, "ab cd " * 20_000]
+    whole = li.Scorer(models).score(texts)
+    for chars, words, limit in ((1, 1, 10), (1000, 7, 300), (10**9, 10**9, 10**9)):
+        monkeypatch.setattr(li, "CHARS_AT_ONCE", chars)
+        monkeypatch.setattr(li, "WORDS_AT_ONCE", words)
+        monkeypatch.setattr(li, "WORD_LIMIT", limit)
+        got = li.Scorer(models).score(texts)
+        assert all(a[0] == b[0] and a[3:] == b[3:] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(whole, got, strict=True))
