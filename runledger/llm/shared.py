@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..lineage import shared_dir
 
-#: Rows in one Arrow batch handed to Python; with texts of 100 kB this keeps a batch within some 50 MB.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 #: Keys or ids that are broadcast to filter rows (16 bytes each, so 16 MB); the words of the bitmap that filters for more (16 MB in bits).
 BROADCAST_KEYS, FILTER_WORDS = 1_000_000, 1 << 21
 #: A key of more rows than this is not shuffled by itself; the salts that its rows are spread over where it must be.
@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of this session's Arrow batches from here on; Spark bounds their bytes (64 MB, unless
-    spark.sql.execution.arrow.maxBytesPerBatch says otherwise), so that Python workers hold few long texts at once."""
+    """Bounds the rows and bytes of this session's Arrow batches from here on, where they may be larger, so that executors
+    and Python workers hold few long texts at once. A text that is longer by itself is a batch of its own."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 class Workspace:
