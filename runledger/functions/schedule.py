@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,30 +63,52 @@ def utc_parts(ms: Column) -> dict[str, Column]:
     return {"minute": F.minute(t), "hour": F.hour(t), "day": F.dayofmonth(t), "month": F.month(t), "weekday": F.dayofweek(t) - 1, "year": F.year(t)}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once a row, however often use names it: a column expression has no variables but those of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cron_values(field: Column, low: int, high: int) -> Column:
     """The values of one field of an expression in a column, as parse_field has them; null for a bad field."""
+    form = r"^(?:([*])|([0-9]+)(?:-([0-9]+))?)(?:/([0-9]+))?$"
+
+    def read(part: Column) -> Column:
+        groups = [F.regexp_extract(part, form, i) for i in range(1, 5)]  # all empty where the part has another form
+        return F.struct(*[g.alias(n) for g, n in zip(groups, ("star", "first", "last", "step"), strict=True)])
+
+    def ends(g: Column) -> Column:
+        star = g["star"] == "*"
+        first = F.when(star, F.lit(low)).otherwise(g["first"].try_cast("int"))
+        last = F.when(star, F.lit(high)).otherwise(F.when(g["last"] == "", g["first"]).otherwise(g["last"]).try_cast("int"))
+        return F.struct(first.alias("first"), last.alias("last"), F.when(g["step"] == "", F.lit(1)).otherwise(g["step"].try_cast("int")).alias("step"))
 
-    def of_part(part: Column) -> Column:
-        first = F.when(part.startswith("*"), F.lit(low)).otherwise(F.regexp_extract(part, r"^([0-9]+)", 1).try_cast("int"))
-        last = F.when(part.startswith("*"), F.lit(high)).otherwise(F.coalesce(F.regexp_extract(part, r"^[0-9]+-([0-9]+)", 1).try_cast("int"), first))
-        step = F.when(part.contains("/"), F.regexp_extract(part, r"/([0-9]+)$", 1).try_cast("int")).otherwise(F.lit(1))
-        good = part.rlike(r"^([*]|[0-9]+(-[0-9]+)?)(/[0-9]+)?$") & (first >= low) & (first <= last) & (last <= high) & (step > 0)
-        return F.when(good, F.sequence(F.when(good, first), F.when(good, last), F.when(good, step)))
+    def values(e: Column) -> Column:
+        good = (e["first"] >= low) & (e["first"] <= e["last"]) & (e["last"] <= high) & (e["step"] > 0)
+        return F.when(good, F.sequence(e["first"], e["last"], e["step"]))
 
-    return F.array_distinct(F.flatten(F.transform(F.split(field, ","), of_part)))
+    return F.array_distinct(F.flatten(F.transform(F.transform(F.transform(F.split(field, ","), read), ends), values)))
 
 
 def cron_fields(expression: Column) -> Column:
     """A struct of the fields' values and of whether day and weekday are `*`; null for an expression that is not valid.
 
-    7 as a weekday is Sunday, like 0.
+    7 as a weekday is Sunday, like 0. An expression in a column is read once a row.
     """
-    texts = F.split(F.trim(expression), r"\s+")
-    values = [cron_values(F.get(texts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(FIELDS)]
-    values[4] = F.array_distinct(F.transform(values[4], lambda v: v % 7)).alias("weekday")
-    stars = [(F.get(texts, F.lit(i)) == "*").alias(name) for i, name in ((2, "any_day"), (4, "any_weekday"))]
-    valid = (F.size(texts) == len(FIELDS)) & F.concat(*values).isNotNull()
-    return F.when(valid, F.struct(*values, *stars))
+
+    def fields(texts: Column) -> Column:
+        values = [cron_values(F.get(texts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(FIELDS)]
+        stars = [(F.get(texts, F.lit(i)) == "*").alias(name) for i, name in ((2, "any_day"), (4, "any_weekday"))]
+        return F.when(F.size(texts) == len(FIELDS), F.struct(*values, *stars))
+
+    def checked(c: Column) -> Column:
+        names = [name for name, _, _ in FIELDS[:4]]
+        weekday = F.array_distinct(F.transform(c["weekday"], lambda v: v % 7)).alias("weekday")
+        valid = c.isNotNull() & c["weekday"].isNotNull()
+        for name in names:
+            valid &= c[name].isNotNull()
+        return F.when(valid, F.struct(*[c[n].alias(n) for n in names], weekday, c["any_day"].alias("any_day"), c["any_weekday"].alias("any_weekday")))
+
+    return bound(bound(F.split(F.trim(expression), r"\s+"), fields), checked)
 
 
 def _day_matches(cron: Column, day: Column, month: Column, weekday: Column) -> Column:

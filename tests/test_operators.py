@@ -239,6 +239,11 @@ def test_cron_and_intervals(spark):
         schedule.every(0)
 
 
+def test_expressions_are_read_once_a_row(spark):
+    text = str(schedule.cron_fields(F.col("e")))
+    assert text.count("regexp_extract") == 4 * len(schedule.FIELDS) and text.count("split") == 1 + len(schedule.FIELDS), text
+
+
 def test_payloads(spark):
     shape = {"n": ("integer", True), "x": ("number", True), "s": ("string", False), "a": ("array", False), "o": ("object", False), "b": ("boolean", False)}
     rows = {
