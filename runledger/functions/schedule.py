@@ -144,16 +144,17 @@ def previous_cron_fire(now: Column, cron: Column, lookback_ms: int = LOOKBACK_MS
     latest = F.array_max(cron["hour"]) * 60 + F.array_max(cron["minute"])
     this_hour = F.when(F.array_contains(cron["hour"], hour), hour * 60 + F.array_max(F.filter(cron["minute"], lambda m: m <= minute)))
     earlier = F.array_max(F.filter(cron["hour"], lambda h: h < hour)) * 60 + F.array_max(cron["minute"])
-    latest_today = F.greatest(this_hour, earlier)
+    of_days = F.struct(today.alias("today"), F.greatest(this_hour, earlier).alias("first"), latest.alias("other"))
+    days = F.sequence(F.lit(0), F.lit(lookback_ms // DAY + 1))
 
-    def fire(back: Column) -> Column:
-        day = today - back
+    def fire(of: Column, back: Column) -> Column:
+        day = of["today"] - back
         date = F.date_from_unix_date(day)
-        of_day = F.when(back == 0, latest_today).otherwise(latest)
+        of_day = F.when(back == 0, of["first"]).otherwise(of["other"])
         return F.when(_day_matches(cron, F.dayofmonth(date), F.month(date), F.pmod(day + 4, F.lit(7))), (day.cast("long") * (DAY // MINUTE) + of_day) * MINUTE)
 
-    last = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(lookback_ms // DAY + 1)), fire))
-    return F.when(last >= top - lookback_ms, last)
+    last = bound(of_days, lambda of: F.array_max(F.transform(days, lambda back: fire(of, back))))
+    return bound(last, lambda at: F.when(at >= top - lookback_ms, at))
 
 
 def materialize(schedules: DataFrame, now: int, lookback_ms: int = LOOKBACK_MS) -> DataFrame:

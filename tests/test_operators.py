@@ -244,6 +244,11 @@ def test_expressions_are_read_once_a_row(spark):
     assert text.count("regexp_extract") == 4 * len(schedule.FIELDS) and text.count("split") == 1 + len(schedule.FIELDS), text
 
 
+def test_days_are_tried_without_reading_the_fields_again(spark):
+    tried = str(schedule.previous_cron_fire(F.lit(THURSDAY), F.col("c"))).partition("sequence(0")[2]
+    assert tried and "array_max" not in tried and "filter" not in tried, tried
+
+
 def test_payloads(spark):
     shape = {"n": ("integer", True), "x": ("number", True), "s": ("string", False), "a": ("array", False), "o": ("object", False), "b": ("boolean", False)}
     rows = {
