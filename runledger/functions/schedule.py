@@ -89,11 +89,13 @@ def cron_values(field: Column, low: int, high: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.transform(F.transform(F.split(field, ","), read), ends), values)))
 
 
-def cron_fields(expression: Column) -> Column:
+def cron_fields(expression: Column | str) -> Column:
     """A struct of the fields' values and of whether day and weekday are `*`; null for an expression that is not valid.
 
-    7 as a weekday is Sunday, like 0. An expression in a column is read once a row.
+    7 as a weekday is Sunday, like 0. An expression in a column is read once a row, one given as text once in all.
     """
+    if isinstance(expression, str):
+        return _cron_literal(expression)
 
     def fields(texts: Column) -> Column:
         values = [cron_values(F.get(texts, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(FIELDS)]
@@ -111,6 +113,17 @@ def cron_fields(expression: Column) -> Column:
     return bound(bound(F.split(F.trim(expression), r"\s+"), fields), checked)
 
 
+def _cron_literal(expression: str) -> Column:
+    """cron_fields of one expression for all rows, as literals."""
+    try:
+        cron = parse_cron(expression)
+    except ValueError:
+        arrays = ", ".join(f"{name}: array<int>" for name, _, _ in FIELDS)
+        return F.lit(None).cast(f"struct<{arrays}, any_day: boolean, any_weekday: boolean>")
+    values = [F.array(*map(F.lit, f.values)).alias(name) for name, f in cron.items()]
+    return F.struct(*values, F.lit(cron["day"].any).alias("any_day"), F.lit(cron["weekday"].any).alias("any_weekday"))
+
+
 def _day_matches(cron: Column, day: Column, month: Column, weekday: Column) -> Column:
     """By either field if day and weekday are both restricted, else by both."""
     on_day, on_weekday = F.array_contains(cron["day"], day), F.array_contains(cron["weekday"], weekday)

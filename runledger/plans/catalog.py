@@ -366,7 +366,7 @@ _WORK_HOURS = "*/20 8-18/2 * * 1-5,0"
 add("C02_valid_expressions", "select schedule_id, substr(schedule_id, 2)::bigint % 5 <> 4 as valid from wf_schedules where cron is not null", (SC,))(lambda s: _cron(s).select("schedule_id", F.col("c").isNotNull().alias("valid")))
 add("C03_field_values", f"with {_CRON_SQL} select schedule_id, unnest(mi)::int as minute from u", (SC,))(lambda s: _cron(s).select("schedule_id", F.explode("c.minute").alias("minute")))
 add("C04_cron_match", "with t as (select run_id, event_index, make_timestamp(ts * 1000) as t from wf_events) select run_id, event_index, minute(t) % 20 = 0 and hour(t) between 8 and 18 and hour(t) % 2 = 0 and dayofweek(t) <> 6 as hit from t", (EV,))(
-    lambda e: e.select("run_id", "event_index", schedule.cron_matches(F.col("ts"), schedule.cron_fields(F.lit(_WORK_HOURS))).alias("hit"))
+    lambda e: e.select("run_id", "event_index", schedule.cron_matches(F.col("ts"), schedule.cron_fields(_WORK_HOURS)).alias("hit"))
 )
 add("C05_interval_fire", f"select schedule_id, case when every_ms > 0 then {FIRE}::bigint - {FIRE}::bigint % every_ms end as fire_at from wf_schedules", (SC,))(lambda s: s.select("schedule_id", schedule.interval_fire(F.lit(FIRE).cast("long"), F.col("every_ms")).alias("fire_at")))
 add("C06_previous_fire", f"with {_CRON_SQL} select schedule_id, fire_at from c", (SC,))(lambda s: _cron(s).select("schedule_id", schedule.previous_cron_fire(F.lit(FIRE).cast("long"), F.col("c")).alias("fire_at")))

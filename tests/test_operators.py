@@ -249,6 +249,15 @@ def test_days_are_tried_without_reading_the_fields_again(spark):
     assert tried and "array_max" not in tried and "filter" not in tried, tried
 
 
+def test_an_expression_as_text(spark):
+    texts = ["*/20 8-18/2 * * 1-5,0", "5 0 1,15 * *", "* * * * 7", "61 * * * *", "* *", "1/0 * * * *", "-1 * * * *", "* * * * */"]
+    df = spark.createDataFrame([(e,) for e in texts], "e string").withColumn("c", schedule.cron_fields(F.col("e")))
+    in_order = lambda c: c and {k: sorted(v) if isinstance(v, list) else v for k, v in c.asDict().items()}
+    assert {e: in_order(spark.range(1).select(schedule.cron_fields(e).alias("c")).first().c) for e in texts} == {r.e: in_order(r.c) for r in df.collect()}
+    hits = df.select("e", schedule.cron_matches(F.lit(THURSDAY), F.col("c")).alias("h")).collect()
+    assert {r.e: r.h for r in hits} == {e: spark.range(1).select(schedule.cron_matches(F.lit(THURSDAY), schedule.cron_fields(e)).alias("h")).first().h for e in texts}
+
+
 def test_payloads(spark):
     shape = {"n": ("integer", True), "x": ("number", True), "s": ("string", False), "a": ("array", False), "o": ("object", False), "b": ("boolean", False)}
     rows = {
