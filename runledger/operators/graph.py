@@ -2,12 +2,12 @@
 
 Loops run a small job per level and write each level to the shared folder (lineage.Levels), so a level plans and runs
 in the same time whatever came before, and lost executors cost one level. Nodes never reach the driver. The
-number of jobs is the depth of the graph: thousands of levels are thousands of jobs.
+number of jobs is the depth of the graph: thousands of levels are thousands of jobs. Edges, which every level reads, are
+written there first, in as few files as their size needs: a cached table would keep all partitions of its last shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +78,8 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     what is free is written once.
     """
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").persist(StorageLevel.DISK_ONLY)
-    waits, freed = Levels(spark, "waiting"), Levels(spark, "levels")
+    kept, waits, freed = Levels(spark, "edges"), Levels(spark, "waiting"), Levels(spark, "levels")
+    edges = kept.append(edges.select("src", "dst"))
     waiting = waits.append(degrees(edges, nodes).select("node", F.col("in_degree").alias("left")))
     try:
         while not waiting.isEmpty():
@@ -93,7 +93,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         if not freed.n:
             freed.append(waiting.select("node"))
     finally:
-        edges.unpersist()
+        kept.drop()
         waits.drop()
     return freed.all()
 
@@ -124,13 +124,13 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     key = seeds.columns
     on = [c for c in key if c != "node" and c in edges.columns]
-    step = edges.select(*on, F.col("src").alias("node"), "dst").persist(StorageLevel.DISK_ONLY)
-    seen = Levels(spark, "reached")
+    kept, seen = Levels(spark, "steps"), Levels(spark, "reached")
+    step = kept.append(edges.select(*on, F.col("src").alias("node"), "dst"))
     frontier = seen.append(seeds.select(*key).distinct())
     while not frontier.isEmpty():
         new = frontier.join(step, [*on, "node"]).select(*[F.col("dst").alias("node") if c == "node" else F.col(c) for c in key]).distinct()
         frontier = seen.append(new.join(seen.all().drop("level"), key, "left_anti"))
-    step.unpersist()
+    kept.drop()
     return seen.all().select(*key)
 
 

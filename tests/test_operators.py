@@ -90,6 +90,22 @@ def test_graphs_with_isolated_nodes_and_depth(spark):
     assert graph.topological_levels(edges.limit(0)).count() == 0 and graph.reachable(edges, alone.limit(0)).count() == 0
 
 
+def test_levels_read_edges_in_few_tasks(spark):
+    edges = spark.createDataFrame([(n // k, n) for n in range(2, 40) for k in (2, 3) if n >= k], "src long, dst long")
+    seeds, track = spark.createDataFrame([(5,)], "node long"), spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        for name, run in (("levels", lambda: graph.topological_levels(edges.distinct())), ("reached", lambda: graph.reachable(edges.distinct(), seeds))):
+            spark.sparkContext.setJobGroup(name, name)
+            run()
+            stages = {s for j in track.getJobIdsForGroup(name) for s in track.getJobInfo(j).stageIds}
+            widest = [i.numTasks for s in stages if (i := track.getStageInfo(s)) and i.numCompletedTasks]
+            assert widest and max(widest) < 100, (name, sorted(widest))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 def _runs(spark, *rows):
     names = "run_id string, workflow_id string, workflow_version string, status string, wait_name string, wake_at long, lease_owner string, lease_expires_at long, created_at long, updated_at long"
     return spark.createDataFrame([(r, "w", None, s, n, w, o, x, 0, u) for r, s, n, w, o, x, u in rows], names)
