@@ -58,6 +58,7 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     return chosen.where(F.col("spread") * F.col("n_of_lang") < F.lit(1_200_000 * per_language)).select("lang", "text", (F.col("spread") % 6 == 0).alias("calibrates"))
 
 
+@shared.lean
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         found: Counter = Counter()
@@ -237,6 +238,7 @@ def predict(text: Column, models: Models | None) -> Column:
         return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(0).cast("long").alias("n_chars"), F.lit(True).alias("rejected"))
 
     @F.pandas_udf(_RESULT)
+    @shared.lean
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(models)
         for texts in batches:
@@ -258,6 +260,7 @@ def runs(ws: list[str]) -> Iterator[str]:
                 yield " ".join(ws[first:end])
 
 
+@shared.lean
 def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         cut = [(lang, run, True) for lang, text in zip(rows.lang, rows.text, strict=True) for run in runs(words(text))]

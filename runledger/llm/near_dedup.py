@@ -112,6 +112,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys, verification signature; the last three null for empty sets."""
 
     @F.pandas_udf("n_shingles long, digest binary, bands array<long>, signature binary")
+    @shared.lean
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for texts in batches:
@@ -147,6 +148,7 @@ def survivors(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFr
     """The pairs (a, b) that signature batches do not rule out."""
     limits = least_matches(threshold / 100)
 
+    @shared.lean
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if not len(rows):
@@ -190,6 +192,7 @@ def _sets(rows: pd.DataFrame, shingler: Shingler, last: list) -> Iterator[tuple[
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
+    @shared.lean
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, last = Shingler(words), [None, None]
         for rows in batches:
@@ -205,6 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> D
 def outside_leader(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(lo, id) -> lo, id, common (shingles that id shares with lo), others (those it has besides)."""
 
+    @shared.lean
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, last = Shingler(words), [None, None]
         for rows in batches:

@@ -90,6 +90,7 @@ def encode(text: Column, model: bytes) -> Column:
     """Column of ids, as the library's encode() gives without begin or end ids."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @shared.lean
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = ChunkTable(model)
         for texts in batches:
@@ -102,6 +103,7 @@ def decode(ids: Column, model: bytes) -> Column:
     """Column of texts, by the library's own decode() of each row's ids."""
 
     @F.pandas_udf(T.StringType())
+    @shared.lean
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         for rows in batches:
