@@ -33,9 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = sentencepiece_table.read_model(MODEL)
-    encoded = sentencepiece_table.encode_documents(docs.select("doc_id", "text"), model)
-    decoded = encoded.withColumn("decoded", sentencepiece_table.decode(F.col("ids"), model))
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = sentencepiece_table.round_trip_documents(docs, model)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -260,11 +260,19 @@ def runs(ws: list[str]) -> Iterator[str]:
                 yield " ".join(ws[first:end])
 
 
-@shared.lean
-def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        cut = [(lang, run, True) for lang, text in zip(rows.lang, rows.text, strict=True) for run in runs(words(text))]
-        yield pd.DataFrame([(lang, text, False) for lang, text in zip(rows.lang, rows.text, strict=True)] + cut, columns=["lang", "text", "run"])
+def scored_with_runs(texts: DataFrame, models: Models) -> DataFrame:
+    """(lang, text) -> lang, run (whether it is a run cut from a text), lang_pred, bits, n_chars; one Python worker a task cuts and scores."""
+
+    @shared.lean
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(models)
+        for rows in batches:
+            whole = [(lang, text, False) for lang, text in zip(rows.lang, rows.text, strict=True)]
+            cut = whole + [(lang, run, True) for lang, text, _ in whole for run in runs(words(text))]
+            found = scorer.score([text for _, text, _ in cut])
+            yield pd.DataFrame([(lang, run, p[0], p[2], p[3]) for (lang, _, run), p in zip(cut, found, strict=True)], columns=["lang", "run", "lang_pred", "bits", "n_chars"])
+
+    return texts.select("lang", "text").mapInPandas(scored, "lang string, run boolean, lang_pred string, bits double, n_chars long")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Models | None:
@@ -275,11 +283,10 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Models | No
     models = fit_models(count_grams(chosen.where("not calibrates")).toPandas())
     if models is None:
         return None
-    texts = chosen.where("calibrates").select("lang", "text").mapInPandas(_with_runs, "lang string, text string, run boolean")
     # a run may read as another language and must stay there too
-    own = texts.select("lang", "run", predict(F.col("text"), models).alias("p")).where("p.lang = lang or run and p.n_chars > 0")
-    classes = F.least(F.length(F.bin("p.n_chars")), F.lit(31))
-    limits = own.groupBy("p.lang", classes.alias("c")).agg(F.percentile_approx("p.bits", 1 - REJECT_SHARE, 10_000).alias("bits"), F.count("*").alias("n")).collect()
+    own = scored_with_runs(chosen.where("calibrates"), models).where("lang_pred = lang or run and n_chars > 0")
+    classes = F.least(F.length(F.bin("n_chars")), F.lit(31))
+    limits = own.groupBy(F.col("lang_pred").alias("lang"), classes.alias("c")).agg(F.percentile_approx("bits", 1 - REJECT_SHARE, 10_000).alias("bits"), F.count("*").alias("n")).collect()
     bounds = np.full((len(models.langs), 32), np.nan)
     for r in limits:
         bounds[models.langs.index(r.lang), r.c] = r.bits * SLACK

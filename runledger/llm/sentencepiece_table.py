@@ -112,15 +112,36 @@ def decode(ids: Column, model: bytes) -> Column:
     return text(ids)
 
 
+def round_trip(text: Column, model: bytes) -> Column:
+    """Struct of ids and decoded, as encode() and decode() give them, by one Python worker a task: decode(encode()) takes two where
+    the ids are kept as well."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    @shared.lean
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = ChunkTable(model)
+        for texts in batches:
+            ids = known.encode(texts.tolist())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([known.sp.decode(r.tolist()) for r in ids], dtype=object)})
+
+    return both(F.coalesce(text, F.lit("")))
+
+
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids."""
     shared.small_batches(docs.sparkSession)
     return docs.withColumn(ids, encode(docs[text], model))
 
 
-def digests(encoded: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
-    out = encoded.withColumn("decoded", decode(F.col("ids"), model))
+def round_trip_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """doc_id, ids and decoded, the text that the ids decode to."""
+    shared.small_batches(docs.sparkSession)
+    return docs.select("doc_id", round_trip(docs[text], model).alias("r")).select("doc_id", "r.*")
+
+
+def digests(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of what they decode to; without a model, encoded has that as decoded."""
+    out = encoded.withColumn("decoded", decode(F.col("ids"), model)) if model else encoded
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -131,5 +152,4 @@ def digests(encoded: DataFrame, model: bytes) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str, model_path: str) -> DataFrame:
     model = read_model(model_path)
-    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode_documents(docs, model).drop("text"), model)
+    return digests(round_trip_documents(shared.table(spark, sf_dir, "documents"), model))

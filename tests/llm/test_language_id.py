@@ -106,3 +106,28 @@ def test_scores_do_not_depend_on_groups(spark, monkeypatch):
         monkeypatch.setattr(li, "WORD_LIMIT", limit)
         got = li.Scorer(models).score(texts)
         assert all(a[0] == b[0] and a[3:] == b[3:] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(whole, got, strict=True))
+
+
+def test_each_job_that_learns_takes_one_python_worker_a_task(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plans, collect = [], type(docs).collect
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    li.fit(docs)
+    assert [p.count("ArrowEvalPython") + p.count("MapInPandas") for p in plans] == [1, 1]
+
+
+def test_scored_runs_equal_scores_of_their_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = li.fit(docs)
+    texts = docs.where("lang is not null and text is not null").select("lang", "text").limit(40)
+    want = Counter()
+    for lang, text in texts.collect():
+        for run, t in [(False, text), *((True, r) for r in li.runs(li.words(text)))]:
+            p = li.Scorer(models).score([t])[0]
+            want[lang, run, p[0], p[2], p[3]] += 1
+    assert Counter(tuple(r) for r in li.scored_with_runs(texts, models).collect()) == want

@@ -58,3 +58,20 @@ def test_refuses_pieces_across_marks():
 
     assert not st.pieces_stay_within_marks(Crossing())
     assert st.pieces_stay_within_marks(SP)
+
+
+def test_ids_and_their_texts_take_one_python_worker_a_task(spark):
+    import corpus_pipeline as cp
+    from runledger.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for df in (queries.queries()["op10_sentencepiece"](spark, folder), dict(cp.STAGES)["sentencepiece"](spark, docs, folder)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_round_trip_equals_encode_and_decode(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.decoded) for r in st.round_trip_documents(docs, MODEL).collect()}
+    assert got == {i: (SP.encode(t), SP.decode(SP.encode(t))) for i, t in enumerate([*TEXTS, ""])}
+    assert st.digests(st.round_trip_documents(docs.limit(0), MODEL)).count() == 0
